@@ -63,6 +63,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()  # shuffle files of plans that are done go with their objects
     return spark.read.schema(df.schema).parquet(path)
 
 
