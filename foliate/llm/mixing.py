@@ -89,5 +89,15 @@ def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     return sums.withColumn("again", F.explode(F.when(F.col("size") == 0, F.array_repeat(F.lit(0), F.col("n").cast("int"))).otherwise(F.array(F.lit(0))))).select("doc_id", "size", "source", "source_size", "target", "taken", "first_slot")
 
 
+def repeated(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """docs as the mix takes them: each row as often as its taken words, by its size, round to; rows without words once. docs must have one row an id at most, else its rows are taken alike."""
+    words = F.coalesce(F.regexp_count("text", F.lit(common.WORD)), F.lit(0)).cast("bigint")
+    taken = mix(docs, block).groupBy("doc_id", "size").agg(F.max(F.when(F.col("size") == 0, 1).otherwise(F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.greatest("size", F.lit(1))))).cast("int")).alias("__times"))
+    here = docs.withColumn("__size", words).alias("a").join(taken.withColumnsRenamed({"doc_id": "__id", "size": "__n"}).alias("b"), F.col("a.doc_id").eqNullSafe(F.col("__id")) & (F.col("__size") == F.col("__n")))
+    return here.withColumn("__time", F.explode(F.array_repeat(F.lit(0), F.col("__times")))).select(*(F.col(f"a.`{c}`") for c in docs.columns))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(common.documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliate.llm import common
@@ -69,12 +69,14 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [statistics(x) for x in batch.column("text").to_pylist()]
         flat = np.concatenate(rows) if rows else np.zeros(0, np.float32)
         values = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * N_STATISTICS), pa.array(flat))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), values], ["doc_id", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("kept"), values], ["doc_id", "kept", "x"])
 
 
-def document_statistics(docs: DataFrame) -> DataFrame:
+def document_statistics(docs: DataFrame, keep: Column | None = None) -> DataFrame:
+    """doc_id, kept (keep's text, to tell rows of one id apart), x."""
     common.prepare(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_statistics, "doc_id bigint, x array<float>")
+    kept = (F.lit(None) if keep is None else keep).cast("string").alias("kept")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), kept, F.col("text").cast("string").alias("text")).mapInArrow(_statistics, "doc_id bigint, kept string, x array<float>")
 
 
 class Model:
@@ -168,35 +170,25 @@ def fit(train: DataFrame) -> Model | None:
 
 
 def scored(stats: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, held_out, score, predicted."""
-    schema = "doc_id bigint, score double"
+    """doc_id, kept, held_out, score, predicted."""
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": model.score(_matrix(pdf)) if len(pdf) and model else np.full(len(pdf), 0.5)})
-
-    out = stats.select("doc_id", "x").mapInArrow(_by_pandas(score), schema)
-    return out.select("doc_id", F.coalesce(common.remainder(F.col("doc_id"), FOLDS) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
-
-
-def _by_pandas(f):
-    """f over pandas frames, as a function over Arrow batches; null ids stay null."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = pd.DataFrame({"doc_id": range(batch.num_rows), "x": batch.column("x").to_pandas()})
-            for out in f(iter([x])):
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out["score"].to_numpy(np.float64))], ["doc_id", "score"])
+            x = batch.column("x")
+            n = batch.num_rows
+            values = model.score(x.flatten().to_numpy().astype(np.float64).reshape(n, -1)) if n and model else np.full(n, 0.5)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("kept"), pa.array(values, pa.float64())], ["doc_id", "kept", "score"])
 
-    return run
+    out = stats.mapInArrow(score, "doc_id bigint, kept string, score double")
+    return out.select("doc_id", "kept", F.coalesce(common.remainder(F.col("doc_id"), FOLDS) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, keep: Column | None = None) -> DataFrame:
     """labels: doc_id, label. Learns from labelled documents whose crc32 remainder isn't 0, scores all."""
-    stats = common.staged(document_statistics(docs), "statistics")
+    stats = common.staged(document_statistics(docs, keep), "statistics")
     train = common.staged(stats.join(labels, "doc_id").where(common.remainder(F.col("doc_id"), FOLDS) != 0).select("x", "label"), "train")
     return scored(stats, fit(train))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify(common.documents(spark, sf_dir), common.labels(spark, sf_dir, "quality"))
+    return classify(common.documents(spark, sf_dir), common.labels(spark, sf_dir, "quality")).drop("kept")

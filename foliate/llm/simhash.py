@@ -1,6 +1,6 @@
 """SimHash near-duplicates by tiled exact comparison.
 
-A text's fingerprint has one bit for each bit that is set in over half of its shingles' XXH64. The distinct fingerprints
+A text's fingerprint has a bit for each bit that is set in over half of its shingles' XXH64. The distinct fingerprints
 are dealt into tiles by the population counts of their four quarters: fingerprints within `radius` bits differ by at most
 `radius` in the sum of those four counts' differences, so a tile meets only tiles whose counts lie that close (21 of 83,521 kinds), and all
 others are skipped. Two tiles are compared by one numpy exclusive-or and a bit count; of the links found, each
@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 from foliate.llm import common
 from foliate.llm.components import components
 
-SHINGLE, RADIUS, SEED, TILE, QUARTERS = 3, 2, 42, 2048, 4
+SHINGLE, RADIUS, SEED, TILE = 3, 2, 42, 2048
+#: Shingle and radius of the two fingerprints by which the pipeline knows texts whose five-word shingles have a similarity of 0.8 or more.
+NEAR = ((3, 11), (5, 14))
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -48,26 +50,26 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """docs' columns other than text, and fp (signed)."""
+def fingerprints(docs: DataFrame, shingles: tuple[int, ...] = (SHINGLE,)) -> DataFrame:
+    """docs' columns other than text, and fp (signed), one for each size of shingles."""
     common.prepare(docs.sparkSession)
     other = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(x, shingle) for x in batch.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in other), pa.array(fps)], [*other, "fp"])
+            fps = np.array([[fingerprint(x, k) for k in shingles] for x in batch.column("text").to_pylist()], np.uint64).reshape(-1, len(shingles)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in other), pa.array(list(fps), pa.list_(pa.int64()))], [*other, "fp"])
 
-    return docs.mapInArrow(run, docs.select(*other, F.lit(0).cast("bigint").alias("fp")).schema)
+    return docs.mapInArrow(run, docs.select(*other, F.array(F.lit(0).cast("bigint")).alias("fp")).schema)
 
 
-def near(radius: int) -> list[tuple[int, ...]]:
-    """Differences of the quarters' counts that links may have, of each two opposite ones the one not below zero."""
-    return [x for x in itertools.product(range(-radius, radius + 1), repeat=QUARTERS) if sum(map(abs, x)) <= radius and x >= (0,) * QUARTERS]
+def near(radius: int, parts: int) -> list[tuple[int, ...]]:
+    """Differences of the parts' counts that links may have, of each two opposite ones the one not below zero."""
+    return [x for x in itertools.product(range(-radius, radius + 1), repeat=parts) if sum(map(abs, x)) <= radius and x >= (0,) * parts]
 
 
-def forest(a: np.ndarray, b: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Of the links between a's and b's fingerprints (or within a, if they are the same), a spanning forest, as indices into a and b."""
+def forest(a: np.ndarray, b: np.ndarray, radii: tuple[int, ...]) -> list[tuple[int, int]]:
+    """Of the links between the fingerprints in a's and b's rows (or within a, if they are the same), a spanning forest, as indices into a and b."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -76,60 +78,81 @@ def forest(a: np.ndarray, b: np.ndarray, radius: int) -> list[tuple[int, int]]:
         return x
 
     out = []
-    i, j = np.nonzero(np.bitwise_count(a[:, None] ^ b[None, :]) <= radius)
-    where = len(a) if a is not b else 0
+    i, j = np.nonzero(np.bitwise_count(a[:, 0][:, None] ^ b[:, 0][None, :]) <= radii[0])
+    for k in range(1, len(radii)):
+        held = np.bitwise_count(a[i, k] ^ b[j, k]) <= radii[k]
+        i, j = i[held], j[held]
+    if a is b:
+        i, j = i[i < j], j[i < j]
+    where = 0 if a is b else len(a)
     for x, y in zip(i.tolist(), j.tolist(), strict=True):
-        if where or x < y:
-            p, q = root(x), root(y + where)
-            if p != q:
-                parent[max(p, q)] = min(p, q)
-                out.append((x, y))
+        p, q = root(x), root(y + where)
+        if p != q:
+            parent[max(p, q)] = min(p, q)
+            out.append((x, y))
     return out
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """distinct: fp, once each. Returns u, v: links whose components are those of all links."""
-    spark = distinct.sparkSession
+def links(distinct: DataFrame, radii: tuple[int, ...] = (RADIUS,), tile: int = TILE) -> DataFrame:
+    """distinct: fp, once each. Returns u, v: links whose components are those of all links. Wide radii leave the quarters' counts nothing to skip: there the whole's count is used."""
+    spark, radius = distinct.sparkSession, radii[0]
     common.prepare(spark)
-    base = 64 // QUARTERS + 1
-    counts = [F.bit_count(F.shiftrightunsigned("fp", 16 * k).bitwiseAND(0xFFFF)) for k in range(QUARTERS)]
+    parts = 4 if radius < 4 else 1
+    bits = 64 // parts
+    base = bits + 1
+    first = F.get("fp", F.lit(0))
+    counts = [F.bit_count(F.shiftrightunsigned(first, bits * k).bitwiseAND((1 << bits) - 1) if parts > 1 else first) for k in range(parts)]
     keyed = distinct.select("fp", sum((c * base**k for k, c in enumerate(counts)), F.lit(0)).cast("int").alias("kind"))
     sizes = keyed.groupBy("kind").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("n"))  # at most 17^4 rows
-    tiles = keyed.join(F.broadcast(sizes), "kind").groupBy("kind", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int").alias("tile")).agg(F.collect_list("fp").alias("fps"))
+    tiles = keyed.join(F.broadcast(sizes), "kind").groupBy("kind", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int").alias("tile")).agg(F.flatten(F.collect_list("fp")).alias("fps"))
     tiles = common.staged(tiles, "tiles")
-    digits = [F.expr(f"(kind div {base**k}) % {base}") for k in range(QUARTERS)]
-    moves = [F.struct(F.lit(sum(d * base**k for k, d in enumerate(x))).alias("by"), F.lit(not any(x)).alias("same"), F.array(*map(F.lit, x)).alias("d")) for x in near(radius)]
+    digits = [F.expr(f"(kind div {base**k}) % {base}") for k in range(parts)]
+    moves = [F.struct(F.lit(sum(d * base**k for k, d in enumerate(x))).alias("by"), F.lit(not any(x)).alias("same"), F.array(*map(F.lit, x)).alias("d")) for x in near(radius, parts)]
     asks = tiles.select("kind", "tile", F.col("fps").alias("a"), F.explode(F.array(*moves)).alias("m"), F.array(*digits).alias("q"))
     inside = F.forall(F.zip_with("q", "m.d", lambda q, d: q + d), lambda x: (x >= 0) & (x < base))
     asks = asks.where(inside).select((F.col("kind") + F.col("m.by")).alias("kind"), F.col("tile").alias("of"), "a", F.col("m.same").alias("same"))
-    pairs = asks.join(tiles.withColumnRenamed("fps", "b"), "kind").where(~F.col("same") | (F.col("of") <= F.col("tile")))
+    # each pair of tiles goes to a task of its own choosing, or a kind with many tiles would be one task
+    asks = asks.join(tiles.select("kind", "tile"), "kind").where(~F.col("same") | (F.col("of") <= F.col("tile")))
+    pairs = asks.join(tiles.withColumnRenamed("fps", "b"), ["kind", "tile"])
     pairs = pairs.select("a", F.when(F.col("same") & (F.col("of") == F.col("tile")), F.lit(None)).otherwise(F.col("b")).alias("b"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             us, vs = [], []
             for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
-                x = a.values.to_numpy().view(np.uint64)
-                y = b.values.to_numpy().view(np.uint64) if b.is_valid else x
-                if found := forest(x, y, radius):
+                x = a.values.to_numpy().view(np.uint64).reshape(-1, len(radii))
+                y = b.values.to_numpy().view(np.uint64).reshape(-1, len(radii)) if b.is_valid else x
+                if found := forest(x, y, radii):
                     i, j = np.array(found).T
                     us.append(x[i]), vs.append(y[j])
             if us:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us).view(np.int64)), pa.array(np.concatenate(vs).view(np.int64))], ["u", "v"])
+                kind = pa.list_(pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(list(np.concatenate(z).view(np.int64)), kind) for z in (us, vs)], ["u", "v"])
 
-    return pairs.mapInArrow(compare, "u bigint, v bigint")
+    return pairs.repartition(8 * common.partitions(spark)).mapInArrow(compare, "u array<bigint>, v array<bigint>")
 
 
-def grouped(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """docs' columns other than text, fp, component_id."""
-    fps = common.staged(fingerprints(docs, shingle), "fingerprints")
+def grouped(docs: DataFrame, kinds: tuple[tuple[int, int], ...] = ((SHINGLE, RADIUS),)) -> DataFrame:
+    """docs' columns other than text, fp, component_id. kinds: shingle and radius of each fingerprint; texts link if all lie within their radii."""
+    fps = common.staged(fingerprints(docs, tuple(k for k, _ in kinds)), "fingerprints")
     distinct = common.staged(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = components(links(distinct.select("fp"), radius))
+    roots = components(links(distinct.select("fp"), tuple(r for _, r in kinds)))
     joined = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
     firsts = joined.groupBy("root").agg(F.min("first").alias("component_id"))
     return fps.join(joined.join(firsts, "root").select("fp", "component_id"), "fp")
 
 
+def keep_first(docs: DataFrame, kinds: tuple[tuple[int, int], ...] = NEAR) -> DataFrame:
+    """Of each group of near copies one row, with docs' columns: the smallest id, of its rows (ids may repeat) the smallest digest of the text; equal rows in everything stay together."""
+    digest = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
+    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), digest.alias("digest"))
+    groups = common.staged(grouped(slim, kinds), "groups")
+    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("none "), "digest"))
+    first = groups.groupBy(group.alias("group")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")).alias("first"))
+    kept = first.select(F.col("first.doc_id").alias("__id"), F.col("first.digest").alias("__digest"))
+    return docs.alias("a").join(kept, F.col("a.doc_id").eqNullSafe(F.col("__id")) & (digest == F.col("__digest")), "left_semi").select(*docs.columns)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return grouped(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return grouped(docs).select("doc_id", F.lower(F.lpad(F.hex(F.get("fp", F.lit(0))), 16, "0")).alias("fingerprint"), "component_id")
