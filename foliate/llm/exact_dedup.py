@@ -2,8 +2,8 @@
 
 The key is the SHA-256 digest of the normalised text. A stream runs over a staged table of (digest, locator) rows; its
 state (RocksDB under the shared folder's checkpoint) holds, for each digest, the stable identifier and the content
-locator of the row that stays, and how many rows there were. Every row that hits a digest it doesn't own is then compared byte by
-byte with the owner's normalised text; rows that differ under one digest are grouped by their bytes instead.
+locator of the row that stays, and how many rows there were. The full bytes of the texts that hit one digest are then compared
+(least and greatest, which combine before the shuffle); texts that differ under one digest are grouped by their bytes instead.
 
 Defined results: a null text counts as empty; null ids come after all others; rows that are equal in everything are
 told apart by the file and row where they lie, so one of them stays; an empty table gives an empty result; other
@@ -49,8 +49,11 @@ def keyed_state(rows: DataFrame, keys: list[str]) -> DataFrame:
         spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 100_000).parquet(source)
         .groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("first"))
     )
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    # on disk, without files that are allocated ahead: a store a partition is small
+    conf = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
     try:
         query = (
             changed.writeStream.outputMode("update").option("checkpointLocation", common.new_path(spark, "stream"))
@@ -59,7 +62,8 @@ def keyed_state(rows: DataFrame, keys: list[str]) -> DataFrame:
         )
         query.awaitTermination()
     finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     if not query.lastProgress:  # no file, no batch
         return spark.createDataFrame([], changed.schema)
     # a key's latest micro-batch holds its whole state
@@ -74,11 +78,9 @@ def dedup(docs: DataFrame) -> DataFrame:
     digests = common.staged(rows.select("doc_id", "at", F.sha2(text, 256).alias("digest"), rank(F.length(F.coalesce("text", F.lit(""))), F.col("doc_id"), F.col("at")).alias("rank")), "digests")
     state = common.staged(keyed_state(digests.select("digest", "rank"), ["digest"]), "owners")
 
-    # full bytes on hits: the owner's text goes to the rows that hit its digest
-    shared = state.where("n > 1").select("digest", F.col("first.at").alias("owner"))
-    hits = rows.select("at", text.alias("bytes"), F.sha2(text, 256).alias("digest")).join(shared, "digest")
-    owners = hits.where(F.col("at") == F.col("owner")).select("digest", F.col("bytes").alias("own"))
-    differ = common.staged(hits.where(F.col("at") != F.col("owner")).join(owners, "digest").where(F.col("bytes") != F.col("own")).select("digest").distinct(), "differ")
+    # full bytes on hits: whether all texts of a digest are the same bytes, combined before anything is sent
+    bytes_of = rows.select(F.sha2(text, 256).alias("digest"), text.alias("bytes")).groupBy("digest").agg(F.min("bytes").alias("low"), F.max("bytes").alias("high"))
+    differ = common.staged(bytes_of.where("low <> high").select("digest"), "differ")
 
     plain = digests.join(state, "digest").select("doc_id", F.col("first.doc_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("rank") == F.col("first")).alias("kept"), F.col("digest").alias("text_sha256"), "at")
     if differ.isEmpty():
