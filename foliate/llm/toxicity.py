@@ -155,8 +155,9 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     common.prepare(docs.sparkSession)
     usable = labels.where(common.remainder(F.col("doc_id"), FOLDS) != 0)
     share = min(1.0, max_rows / max(1, usable.count()))
-    sample = usable.where(F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).join(sample, "doc_id").select("text", "label").mapInArrow(_features, "label int, ids array<int>, swaps array<string>")
+    chosen = F.pmod(F.xxhash64(F.lit("toxicity"), F.col("doc_id").cast("bigint")), F.lit(1_000_000)) < int(share * 1_000_000)
+    sample = usable.where(chosen)  # by the id alone: texts that aren't chosen don't reach the join
+    rows = docs.where(chosen).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(sample, "doc_id").select("text", "label").mapInArrow(_features, "label int, ids array<int>, swaps array<string>")
     got = rows.toArrow()
     pairs = [(x[i], x[i + 1]) for x in got.column("swaps").to_pylist() for i in range(0, len(x), 2)]
     ids = got.column("ids").combine_chunks()
