@@ -129,7 +129,7 @@ def _add_up(partials: DataFrame) -> np.ndarray | None:
             yield pd.DataFrame({"blob": [total.tobytes()]})
 
     n = max(1, math.isqrt(partials.rdd.getNumPartitions()))
-    found = partials.coalesce(n).mapInPandas(add, "blob binary").collect() if n > 1 else partials.collect()
+    found = partials.repartition(n).mapInPandas(add, "blob binary").collect() if n > 1 else partials.collect()
     return sum((np.frombuffer(r.blob) for r in found[1:]), np.frombuffer(found[0].blob)) if found else None
 
 
