@@ -5,7 +5,9 @@
    context's hash and the place; a batch's own repeats are settled before anything is sent.
 2. Rows sorted by (anchor, context, place) are read in one pass that keeps one row in memory: a context that stood earlier
    is covered as a whole; a context that stands first and whose anchor has other contexts too is `open`.
-3. Only open contexts fetch their bytes. Sorted by (anchor, place), each of their strings is covered if its anchor had it before.
+3. Only open contexts fetch their bytes. Sorted by (anchor, place), slices of them are put in suffix order (linear grouping by
+   Lyndon prefixes, see lyndon) over symbols of CHUNK bytes; each string is covered if its anchor had it before. An anchor with
+   more contexts than a slice holds meets the strings of its earlier slices by 64-bit hashes.
 4. Covered stretches go back to their documents, which are cut.
 
 Texts move twice, as whole rows; nothing is gathered on the driver, and no group of equal strings is held in memory.
@@ -26,8 +28,10 @@ from pyspark.sql import functions as F
 
 from foliate.llm import common
 from foliate.llm.anchors import anchors
+from foliate.llm.lyndon import runs, suffix_order
 
 LENGTH, STEP = 100, 400
+CHUNK, SLICE = 4, 4096  # bytes a symbol, contexts that are put in order together
 _LAST = np.iinfo(np.int64).max
 
 
@@ -50,21 +54,21 @@ def contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
                 place, h, low, high = anchors(np.frombuffer(raw, np.uint8), length)
                 view = memoryview(raw)
                 c = np.array([digest(view[a : b + length], q) for a, b, q in zip(low.tolist(), high.tolist(), (place - low).tolist(), strict=True)], np.uint64)
-                parts.append((h, c, np.full(len(h), doc), np.full(len(h), row), low, high - low + 1))
+                parts.append((h, c, np.full(len(h), doc), np.full(len(h), row), low, high - low + 1, (place - low) % CHUNK))
             if not parts:
                 continue
-            h, c, doc, row, low, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+            h, c, doc, row, low, n, skew = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.lexsort((low, row, doc, c, h))
-            h, c, doc, row, low, n = (x[order] for x in (h, c, doc, row, low, n))
+            h, c, doc, row, low, n, skew = (x[order] for x in (h, c, doc, row, low, n, skew))
             again = np.concatenate([[False], (h[1:] == h[:-1]) & (c[1:] == c[:-1])])
             # what is settled needs no anchor any more: it is dealt evenly
             h = np.where(again, (row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ low.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F), h)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), c.view(np.int64), doc, row, low.astype(np.int64), n.astype(np.int32), again)], ["h", "c", "doc", "row", "low", "n", "again"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), c.view(np.int64), doc, row, low.astype(np.int64), n.astype(np.int32), skew.astype(np.int8), again)], ["h", "c", "doc", "row", "low", "n", "skew", "again"])
 
 
 def settle(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Step 2. is_open: the row's strings are to be compared; else they are covered."""
-    names = ["h", "doc", "row", "low", "n"]
+    names = ["h", "doc", "row", "low", "n", "skew"]
     last_h = last_c = None
     waiting: pa.RecordBatch | None = None  # the last first context, until it is known whether its anchor has another
 
@@ -126,42 +130,74 @@ def fetch(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
             out: list[tuple] = []
             for doc, row, text, found in zip(*(batch.column(c).to_pylist() for c in ("doc", "row", "text", "open")), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
-                out += [(x["h"], doc, row, x["low"], raw[x["low"] : x["low"] + x["n"] + length - 1]) for x in found]
+                out += [(x["h"], doc, row, x["low"], x["skew"], raw[x["low"] : x["low"] + x["n"] + length - 1]) for x in found]
             if out:
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], ["h", "doc", "row", "low", "bytes"])
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int8(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], ["h", "doc", "row", "low", "skew", "bytes"])
+
+
+def repeats(parts: list[bytes], skews: list[int], length: int) -> np.ndarray:
+    """Of each string of the contexts, in order, whether it equals an earlier one that stands alike to its anchor.
+
+    Contexts are cut into symbols of CHUNK bytes that are counted from the anchor, so equal strings are cut alike. A string
+    contains a fixed number of whole symbols; the suffix order of the symbols tells which strings agree in
+    these, and the few bytes before and after them are compared as they are.
+    """
+    counts = np.array([len(x) - length + 1 for x in parts])
+    before = [-x % CHUNK for x in skews]
+    after = [-(f + len(x)) % CHUNK + CHUNK for f, x in zip(before, parts, strict=True)]  # a symbol of zeros ends each context
+    data = np.frombuffer(b"".join([y for f, x, g in zip(before, parts, after, strict=True) for y in (bytes(f), x, bytes(g))]), np.uint8)
+    sizes = np.array(before) + np.array(after) + counts + length - 1
+    first = np.cumsum(sizes) - sizes + np.array(before)
+    place = np.arange(int(counts.sum())) + np.repeat(first - (np.cumsum(counts) - counts), counts)
+
+    symbols = np.unique(data.view("<u4"), return_inverse=True)[1]
+    whole = (length - CHUNK + 1) // CHUNK
+    run = runs(symbols, suffix_order(symbols), whole)
+    head = -place % CHUNK
+    kind = run[(place + head) // CHUNK]
+    often = np.flatnonzero(np.bincount(kind)[kind] > 1)
+    place, head, kind = place[often], head[often], kind[often]
+    edge = np.zeros(len(often), np.uint64)
+    for k in range(length - whole * CHUNK):  # at most six bytes
+        edge = edge << np.uint64(8) | data[place + k + np.where(k < head, 0, whole * CHUNK)]
+    kind = kind * CHUNK + head
+    order = np.lexsort((edge, kind))  # stable: of equal ones the first comes first
+    a, b = order[:-1], order[1:]
+    out = np.zeros(int(counts.sum()), bool)
+    out[often[b[(kind[a] == kind[b]) & (edge[a] == edge[b])]]] = True
+    return out
+
+
+def distinct(parts: list[bytes], length: int) -> np.ndarray:
+    """Hashes of all strings of the contexts, once each."""
+    return np.unique(np.concatenate([string_hashes(np.frombuffer(x, np.uint8), length) for x in parts]))
 
 
 def compare(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Step 3: covered stretches of open contexts."""
-    seen_h, seen = None, np.zeros(0, np.uint64)  # the strings that the anchor of the last row had so far
+    last: int | None = None  # the anchor of the last row, its contexts of the last slice, and the hashes of its strings before that
+    tail: list[bytes] = []
+    seen = np.zeros(0, np.uint64)
     for whole in batches:
-        for at in range(0, whole.num_rows, 4096):
-            batch = whole.slice(at, 4096)
+        for at in range(0, whole.num_rows, SLICE):
+            batch = whole.slice(at, SLICE)
             parts, h = batch.column("bytes").to_pylist(), batch.column("h").to_numpy()
             counts = np.array([len(x) - length + 1 for x in parts])
-            strings = string_hashes(np.frombuffer(b"".join(parts), np.uint8), length)
-            ends = np.cumsum(counts + length - 1)
-            inside = np.ones(int(ends[-1]), bool)  # a string must not reach into the next context
-            for k in range(1, length):
-                inside[ends - k] = False
-            strings = strings[inside[: len(strings)]]
-            owner = np.repeat(np.arange(len(parts)), counts)
-            own_h = h[owner]
-            order = np.lexsort((np.arange(len(strings)), strings, own_h))
-            again = np.zeros(len(strings), bool)
-            a, b = order[:-1], order[1:]
-            again[b] = (strings[a] == strings[b]) & (own_h[a] == own_h[b])
-            if seen_h is not None and len(seen) and h[0] == seen_h:
-                first = own_h == seen_h
-                again[first] |= np.isin(strings[first], seen)
-            mine = np.unique(strings[own_h == h[-1]])
-            seen = np.union1d(seen, mine) if seen_h == h[-1] else mine
-            seen_h = h[-1]
+            begin, owner = np.cumsum(counts) - counts, np.repeat(np.arange(len(parts)), counts)
+            again = repeats(parts, batch.column("skew").to_pylist(), length)
+            goes_on = h[0] == last
+            if goes_on:  # a group that is longer than a slice
+                seen = np.union1d(seen, distinct(tail, length))
+                for k in range(int(np.searchsorted(h != last, True))):
+                    again[begin[k] : begin[k] + counts[k]] |= np.isin(string_hashes(np.frombuffer(parts[k], np.uint8), length), seen)
+            if not (goes_on and h[-1] == last):
+                seen = np.zeros(0, np.uint64)
+            last = h[-1]
+            tail = parts[int(np.flatnonzero(h == last)[0]) :]
             # runs of covered strings within a context
             starts = np.flatnonzero(again & ~np.concatenate([[False], again[:-1] & (owner[1:] == owner[:-1])]))
             stops = np.flatnonzero(again & ~np.concatenate([again[1:] & (owner[1:] == owner[:-1]), [False]]))
-            begin = np.cumsum(counts) - counts
             who = owner[starts]
             low = batch.column("low").to_numpy()[who] + starts - begin[who]
             yield pa.RecordBatch.from_arrays([pa.array(batch.column("row").to_numpy()[who]), pa.array(low), pa.array(low + (stops - starts) + length)], ["row", "low", "high"])
@@ -196,11 +232,11 @@ def covered(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     """rows: of located(). Returns row, low, high: stretches of covered bytes, overlapping or not."""
     common.prepare(rows.sparkSession)
     n = 4 * common.partitions(rows.sparkSession)
-    sent = rows.mapInArrow(lambda x: contexts(x, length), "h bigint, c bigint, doc bigint, row bigint, low bigint, n int, again boolean")
-    settled = sent.repartition(n, "h").sortWithinPartitions("h", "c", "doc", "row", "low").mapInArrow(lambda x: settle(x, length), "h bigint, doc bigint, row bigint, low bigint, n int, is_open boolean")
+    sent = rows.mapInArrow(lambda x: contexts(x, length), "h bigint, c bigint, doc bigint, row bigint, low bigint, n int, skew byte, again boolean")
+    settled = sent.repartition(n, "h").sortWithinPartitions("h", "c", "doc", "row", "low").mapInArrow(lambda x: settle(x, length), "h bigint, doc bigint, row bigint, low bigint, n int, skew byte, is_open boolean")
     settled = common.staged(settled, "settled")
-    per = settled.where("is_open").groupBy("row").agg(F.collect_list(F.struct("h", "low", "n")).alias("open"))
-    bytes_of = rows.join(per, "row").select("doc", "row", "text", "open").mapInArrow(lambda x: fetch(x, length), "h bigint, doc bigint, row bigint, low bigint, bytes binary")
+    per = settled.where("is_open").groupBy("row").agg(F.collect_list(F.struct("h", "low", "n", "skew")).alias("open"))
+    bytes_of = rows.join(per, "row").select("doc", "row", "text", "open").mapInArrow(lambda x: fetch(x, length), "h bigint, doc bigint, row bigint, low bigint, skew byte, bytes binary")
     found = bytes_of.repartition(n, "h").sortWithinPartitions("h", "doc", "row", "low").mapInArrow(lambda x: compare(x, length), "row bigint, low bigint, high bigint")
     found = common.staged(found, "covered")
     return settled.where("NOT is_open").select("row", "low", (F.col("low") + F.col("n") + (length - 1)).alias("high")).unionByName(found)

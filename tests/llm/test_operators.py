@@ -8,10 +8,11 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
-from foliate.llm import common, exact_dedup, fingerprints, lm, mixing, packing, pii, quality, queries, simhash, substrings, toxicity
+from foliate.llm import common, exact_dedup, fingerprints, lm, lyndon, mixing, packing, pii, quality, queries, simhash, substrings, toxicity
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, rank int, row int, at string, h int, fp string"
@@ -121,6 +122,49 @@ def test_substrings(spark, docs, nothing):
     assert got == plain_removal(items, 100)
 
 
+def test_suffix_order():
+    r = np.random.default_rng(1)
+    cases = [r.integers(0, int(r.integers(1, 5)), int(r.integers(0, 40))) for _ in range(500)]
+    cases += [np.array([1, 0] * 300), np.zeros(500, int), np.arange(300), np.arange(300)[::-1], r.integers(0, 300, 3000)]
+    for x in cases:
+        b = x.tolist()
+        order = lyndon.suffix_order(x)
+        assert order.tolist() == sorted(range(len(b)), key=lambda i: b[i:])
+        run = lyndon.runs(x, order, 3).tolist()
+        assert len(set(zip(run, (tuple(b[i : i + 3]) for i in range(len(b))), strict=True))) == len(set(run)) == len({tuple(b[i : i + 3]) for i in range(len(b))})
+
+
+def test_repeats_in_slices(spark, monkeypatch):
+    """Groups longer than a slice, and strings cut in symbols from every place."""
+    r = np.random.default_rng(3)
+    for _ in range(200):
+        length, parts, skews = int(r.integers(4, 14)), [], []
+        for _ in range(int(r.integers(1, 8))):
+            parts.append(bytes(r.integers(97, 99, int(r.integers(length, 40))).astype(np.uint8)))
+            skews.append(int(r.integers(0, 4)))
+        seen, want = set(), []
+        for x, skew in zip(parts, skews, strict=True):
+            for i in range(len(x) - length + 1):
+                want.append((x[i : i + length], (i - skew) % 4) in seen)
+                seen.add((x[i : i + length], (i - skew) % 4))
+        assert substrings.repeats(parts, skews, length).tolist() == want
+    monkeypatch.setattr(substrings, "SLICE", 3)
+    shared = prose(4, 12)
+    texts = [prose(50 + k % 7, 9) + shared + prose(90 + k % 5, 9) for k in range(40)]
+    rows = [(k, substrings.anchors(np.frombuffer(x.encode(), np.uint8), 30)) for k, x in enumerate(texts)]
+    found = sorted((int(h), k, int(low), int(place - low) % 4, texts[k].encode()[low : high + 30]) for k, a in rows for place, h, low, high in zip(*(y.tolist() for y in a), strict=True))
+    found = [x for x in found if x[0] < 1 << 63]
+    batch = pa.RecordBatch.from_arrays([pa.array([x[0] for x in found]), pa.array([x[1] for x in found]), pa.array([x[1] for x in found]), pa.array([x[2] for x in found]), pa.array([x[3] for x in found], pa.int8()), pa.array([x[4] for x in found])], ["h", "doc", "row", "low", "skew", "bytes"])
+    got = {(row, k) for out in substrings.compare([batch], 30) for x in out.to_pylist() for row, k in [(x["row"], y) for y in range(x["low"], x["high"] - 29)]}
+    seen, want = set(), set()
+    for h, k, low, _, raw in found:
+        for i in range(len(raw) - 29):
+            if (h, raw[i : i + 30]) in seen:
+                want.add((k, low + i))
+            seen.add((h, raw[i : i + 30]))
+    assert got == want and want
+
+
 def plain_fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or [" ".join(words)] * bool(words)
