@@ -1,13 +1,14 @@
-"""Removal of every byte that a repeated string of `length` bytes covers, over all documents.
+"""Removal of every byte that a repeated string of `length` bytes (at least anchors.GRAM) covers, over all documents.
 
 1. Each string of `length` bytes belongs to one anchor (a content-defined place, see anchors): equal strings have equal
    anchors. An anchor's strings form its context, some 130 bytes. Texts send a row an anchor: the anchor's hash, the
    context's hash and the place; a batch's own repeats are settled before anything is sent.
 2. Rows sorted by (anchor, context, place) are read in one pass that keeps one row in memory: a context that stood earlier
    is covered as a whole; a context that stands first and whose anchor has other contexts too is `open`.
-3. Only open contexts fetch their bytes. Sorted by (anchor, place), slices of them are put in suffix order (linear grouping by
-   Lyndon prefixes, see lyndon) over symbols of CHUNK bytes; each string is covered if its anchor had it before. An anchor with
-   more contexts than a slice holds meets the strings of its earlier slices by 64-bit hashes.
+3. Only open contexts fetch their bytes, in two parts whose keys are the anchor with the bytes before or after it. Sorted by
+   (key, place), slices of them are put in suffix order (linear grouping by Lyndon prefixes, see lyndon) over symbols of CHUNK
+   bytes; each string is covered if its key had it before. A key with more contexts than a slice holds meets the strings of
+   its earlier slices by 64-bit hashes.
 4. Covered stretches go back to their documents, which are cut.
 
 Texts move twice, as whole rows; nothing is gathered on the driver, and no group of equal strings is held in memory.
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliate.llm import common
-from foliate.llm.anchors import anchors
+from foliate.llm.anchors import GRAM, anchors
 from foliate.llm.lyndon import runs, suffix_order
 
 LENGTH, STEP = 100, 400
@@ -54,21 +55,21 @@ def contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
                 place, h, low, high = anchors(np.frombuffer(raw, np.uint8), length)
                 view = memoryview(raw)
                 c = np.array([digest(view[a : b + length], q) for a, b, q in zip(low.tolist(), high.tolist(), (place - low).tolist(), strict=True)], np.uint64)
-                parts.append((h, c, np.full(len(h), doc), np.full(len(h), row), low, high - low + 1, (place - low) % CHUNK))
+                parts.append((h, c, np.full(len(h), doc), np.full(len(h), row), low, high - low + 1, place - low))
             if not parts:
                 continue
-            h, c, doc, row, low, n, skew = (np.concatenate(x) for x in zip(*parts, strict=True))
+            h, c, doc, row, low, n, ahead = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.lexsort((low, row, doc, c, h))
-            h, c, doc, row, low, n, skew = (x[order] for x in (h, c, doc, row, low, n, skew))
+            h, c, doc, row, low, n, ahead = (x[order] for x in (h, c, doc, row, low, n, ahead))
             again = np.concatenate([[False], (h[1:] == h[:-1]) & (c[1:] == c[:-1])])
             # what is settled needs no anchor any more: it is dealt evenly
             h = np.where(again, (row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ low.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F), h)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), c.view(np.int64), doc, row, low.astype(np.int64), n.astype(np.int32), skew.astype(np.int8), again)], ["h", "c", "doc", "row", "low", "n", "skew", "again"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), c.view(np.int64), doc, row, low.astype(np.int64), n.astype(np.int32), ahead.astype(np.int16), again)], ["h", "c", "doc", "row", "low", "n", "ahead", "again"])
 
 
 def settle(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Step 2. is_open: the row's strings are to be compared; else they are covered."""
-    names = ["h", "doc", "row", "low", "n", "skew"]
+    names = ["h", "doc", "row", "low", "n", "ahead"]
     last_h = last_c = None
     waiting: pa.RecordBatch | None = None  # the last first context, until it is known whether its anchor has another
 
@@ -123,28 +124,40 @@ def string_hashes(data: np.ndarray, length: int) -> np.ndarray:
 
 
 def fetch(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """The open contexts of each text, with their bytes."""
+    """The open contexts of each text with their bytes, in two parts: the strings that start at least half of what the anchor leaves before it, and the rest.
+
+    All strings of a part reach over the same bytes beside the anchor; the hash of these and the anchor's own is the part's key (h).
+    """
+    digest, half = xxhash.xxh3_64_intdigest, (length - GRAM) // 2
+    types = [pa.uint64(), pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.binary()]
     for whole in batches:
         for at in range(0, whole.num_rows, STEP):
             batch = whole.slice(at, STEP)
             out: list[tuple] = []
             for doc, row, text, found in zip(*(batch.column(c).to_pylist() for c in ("doc", "row", "text", "open")), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
-                out += [(x["h"], doc, row, x["low"], x["skew"], raw[x["low"] : x["low"] + x["n"] + length - 1]) for x in found]
+                for x in found:
+                    low, high, place = x["low"], x["low"] + x["n"] - 1, x["low"] + x["ahead"]
+                    turn = place - half  # the last start of the first part
+                    if low <= turn:
+                        out.append((digest(raw[turn : place + GRAM], 1), doc, row, low, x["ahead"], raw[low : min(high, turn) + length]))
+                    if high > turn:
+                        start = max(low, turn + 1)
+                        out.append((digest(raw[place : turn + 1 + length], 2), doc, row, start, place - start, raw[start : high + length]))
             if out:
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int8(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], ["h", "doc", "row", "low", "skew", "bytes"])
+                columns = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([columns[0].view(pa.int64()), *columns[1:]], ["h", "doc", "row", "low", "ahead", "bytes"])
 
 
-def repeats(parts: list[bytes], skews: list[int], length: int) -> np.ndarray:
+def repeats(parts: list[bytes], aheads: list[int], length: int) -> np.ndarray:
     """Of each string of the contexts, in order, whether it equals an earlier one that stands alike to its anchor.
 
-    Contexts are cut into symbols of CHUNK bytes that are counted from the anchor, so equal strings are cut alike. A string
+    Contexts are cut into symbols of CHUNK bytes that are counted from the anchor (aheads: how far it lies from the start), so equal strings are cut alike. A string
     contains a fixed number of whole symbols; the suffix order of the symbols tells which strings agree in
     these, and the few bytes before and after them are compared as they are.
     """
     counts = np.array([len(x) - length + 1 for x in parts])
-    before = [-x % CHUNK for x in skews]
+    before = [-x % CHUNK for x in aheads]
     after = [-(f + len(x)) % CHUNK + CHUNK for f, x in zip(before, parts, strict=True)]  # a symbol of zeros ends each context
     data = np.frombuffer(b"".join([y for f, x, g in zip(before, parts, after, strict=True) for y in (bytes(f), x, bytes(g))]), np.uint8)
     sizes = np.array(before) + np.array(after) + counts + length - 1
@@ -169,32 +182,45 @@ def repeats(parts: list[bytes], skews: list[int], length: int) -> np.ndarray:
     return out
 
 
-def distinct(parts: list[bytes], length: int) -> np.ndarray:
-    """Hashes of all strings of the contexts, once each."""
-    return np.unique(np.concatenate([string_hashes(np.frombuffer(x, np.uint8), length) for x in parts]))
+def hashes(parts: list[bytes], length: int) -> np.ndarray:
+    """Of all strings of the contexts, in order."""
+    counts = np.array([len(x) - length + 1 for x in parts])
+    skipped = np.repeat(np.arange(len(parts)) * (length - 1), counts)
+    return string_hashes(np.frombuffer(b"".join(parts), np.uint8), length)[np.arange(int(counts.sum())) + skipped]
 
 
 def compare(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Step 3: covered stretches of open contexts."""
-    last: int | None = None  # the anchor of the last row, its contexts of the last slice, and the hashes of its strings before that
+    last: int | None = None  # the key of the last row, its contexts of the last slice, and the hashes of its strings before that
     tail: list[bytes] = []
-    seen = np.zeros(0, np.uint64)
+    seen: list[np.ndarray] = []  # each sorted; each is longer than the next one twice, so that an entry is merged log times
     for whole in batches:
         for at in range(0, whole.num_rows, SLICE):
             batch = whole.slice(at, SLICE)
             parts, h = batch.column("bytes").to_pylist(), batch.column("h").to_numpy()
             counts = np.array([len(x) - length + 1 for x in parts])
             begin, owner = np.cumsum(counts) - counts, np.repeat(np.arange(len(parts)), counts)
-            again = repeats(parts, batch.column("skew").to_pylist(), length)
+            # whole contexts that stood before need no order, nor do keys that stand alone
+            first: dict[tuple[int, bytes], int] = {}
+            known = np.array([first.setdefault(x, k) != k for k, x in enumerate(zip(h.tolist(), parts, strict=True))])
+            alone = np.concatenate([[True], h[1:] != h[:-1]]) & np.concatenate([h[1:] != h[:-1], [True]])
+            again = known[owner]
+            if len(asked := np.flatnonzero(~known & ~alone)):
+                aheads = batch.column("ahead").to_numpy()
+                again[np.isin(owner, asked)] = repeats([parts[k] for k in asked], aheads[asked].tolist(), length)
             goes_on = h[0] == last
             if goes_on:  # a group that is longer than a slice
-                seen = np.union1d(seen, distinct(tail, length))
-                for k in range(int(np.searchsorted(h != last, True))):
-                    again[begin[k] : begin[k] + counts[k]] |= np.isin(string_hashes(np.frombuffer(parts[k], np.uint8), length), seen)
+                new = np.unique(hashes(tail, length))
+                while seen and len(seen[-1]) < 2 * len(new):
+                    new = np.union1d(seen.pop(), new)
+                seen.append(new)
+                mine = hashes(parts[: int(np.argmax(h != last)) if h[-1] != last else len(parts)], length)
+                for x in seen:
+                    again[: len(mine)] |= x[np.minimum(np.searchsorted(x, mine), len(x) - 1)] == mine
             if not (goes_on and h[-1] == last):
-                seen = np.zeros(0, np.uint64)
+                seen = []
             last = h[-1]
-            tail = parts[int(np.flatnonzero(h == last)[0]) :]
+            tail = [parts[k] for k in range(int(np.argmax(h == last)), len(parts)) if not known[k]]
             # runs of covered strings within a context
             starts = np.flatnonzero(again & ~np.concatenate([[False], again[:-1] & (owner[1:] == owner[:-1])]))
             stops = np.flatnonzero(again & ~np.concatenate([again[1:] & (owner[1:] == owner[:-1]), [False]]))
@@ -232,11 +258,11 @@ def covered(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     """rows: of located(). Returns row, low, high: stretches of covered bytes, overlapping or not."""
     common.prepare(rows.sparkSession)
     n = 4 * common.partitions(rows.sparkSession)
-    sent = rows.mapInArrow(lambda x: contexts(x, length), "h bigint, c bigint, doc bigint, row bigint, low bigint, n int, skew byte, again boolean")
-    settled = sent.repartition(n, "h").sortWithinPartitions("h", "c", "doc", "row", "low").mapInArrow(lambda x: settle(x, length), "h bigint, doc bigint, row bigint, low bigint, n int, skew byte, is_open boolean")
+    sent = rows.mapInArrow(lambda x: contexts(x, length), "h bigint, c bigint, doc bigint, row bigint, low bigint, n int, ahead short, again boolean")
+    settled = sent.repartition(n, "h").sortWithinPartitions("h", "c", "doc", "row", "low").mapInArrow(lambda x: settle(x, length), "h bigint, doc bigint, row bigint, low bigint, n int, ahead short, is_open boolean")
     settled = common.staged(settled, "settled")
-    per = settled.where("is_open").groupBy("row").agg(F.collect_list(F.struct("h", "low", "n", "skew")).alias("open"))
-    bytes_of = rows.join(per, "row").select("doc", "row", "text", "open").mapInArrow(lambda x: fetch(x, length), "h bigint, doc bigint, row bigint, low bigint, skew byte, bytes binary")
+    per = settled.where("is_open").groupBy("row").agg(F.collect_list(F.struct("h", "low", "n", "ahead")).alias("open"))
+    bytes_of = rows.join(per, "row").select("doc", "row", "text", "open").mapInArrow(lambda x: fetch(x, length), "h bigint, doc bigint, row bigint, low bigint, ahead short, bytes binary")
     found = bytes_of.repartition(n, "h").sortWithinPartitions("h", "doc", "row", "low").mapInArrow(lambda x: compare(x, length), "row bigint, low bigint, high bigint")
     found = common.staged(found, "covered")
     return settled.where("NOT is_open").select("row", "low", (F.col("low") + F.col("n") + (length - 1)).alias("high")).unionByName(found)

@@ -151,17 +151,20 @@ def test_repeats_in_slices(spark, monkeypatch):
     monkeypatch.setattr(substrings, "SLICE", 3)
     shared = prose(4, 12)
     texts = [prose(50 + k % 7, 9) + shared + prose(90 + k % 5, 9) for k in range(40)]
-    rows = [(k, substrings.anchors(np.frombuffer(x.encode(), np.uint8), 30)) for k, x in enumerate(texts)]
-    found = sorted((int(h), k, int(low), int(place - low) % 4, texts[k].encode()[low : high + 30]) for k, a in rows for place, h, low, high in zip(*(y.tolist() for y in a), strict=True))
-    found = [x for x in found if x[0] < 1 << 63]
-    batch = pa.RecordBatch.from_arrays([pa.array([x[0] for x in found]), pa.array([x[1] for x in found]), pa.array([x[1] for x in found]), pa.array([x[2] for x in found]), pa.array([x[3] for x in found], pa.int8()), pa.array([x[4] for x in found])], ["h", "doc", "row", "low", "skew", "bytes"])
-    got = {(row, k) for out in substrings.compare([batch], 30) for x in out.to_pylist() for row, k in [(x["row"], y) for y in range(x["low"], x["high"] - 29)]}
+    length, opened = 40, []
+    for k, x in enumerate(texts):
+        found = zip(*(y.tolist() for y in substrings.anchors(np.frombuffer(x.encode(), np.uint8), length)), strict=True)
+        opened.append({"doc": k, "row": k, "text": x, "open": [{"h": 0, "low": low, "n": high - low + 1, "ahead": place - low} for place, _, low, high in found]})
+    batches = list(substrings.fetch([pa.RecordBatch.from_pylist(opened)], length))
+    found = pa.Table.from_batches(batches).sort_by([("h", "ascending"), ("row", "ascending"), ("low", "ascending")]).combine_chunks()
+    assert sum(len(x) - length + 1 for x in found.column("bytes").to_pylist()) == sum(len(x) - length + 1 for x in texts)
+    got = {(x["row"], y) for out in substrings.compare(found.to_batches(), length) for x in out.to_pylist() for y in range(x["low"], x["high"] - length + 1)}
     seen, want = set(), set()
-    for h, k, low, _, raw in found:
-        for i in range(len(raw) - 29):
-            if (h, raw[i : i + 30]) in seen:
-                want.add((k, low + i))
-            seen.add((h, raw[i : i + 30]))
+    for k, x in enumerate(texts):
+        for i in range(len(x) - length + 1):
+            if x[i : i + length] in seen:
+                want.add((k, i))
+            seen.add(x[i : i + length])
     assert got == want and want
 
 
