@@ -322,9 +322,23 @@ def test_lm(spark, docs, nothing):
 
 def test_windows_score_each_token_once():
     lengths = np.array([1, 5, lm.WINDOW, lm.WINDOW + 1, 5 * lm.WINDOW])
-    _, start, end, first = lm.windows(lengths)
-    places = np.concatenate([np.arange(f, e) for f, e in zip(first, end, strict=True)])
-    assert sorted(places.tolist()) == list(range(lengths.sum())) and (end - start).max() <= lm.WINDOW
+    seq, start, first, left = lm.windows(lengths)
+    places = np.concatenate([np.arange(f, f + n) for f, n in zip(first, left, strict=True)])
+    assert places.tolist() == list(range(lengths.sum())) and left.min() > 0 and left.max() <= lm.STRIDE
+    assert (start - first == lm.LEAD * seq).all()
+
+
+def test_scores_do_not_depend_on_neighbours():
+    """A text scores the same alone and among others; the subwords' shares of a class sum to one."""
+    r = np.random.default_rng(2)
+    model = lm.Model(r.integers(0, 50, lm.VOCABULARY).astype(float))
+    texts = [r.integers(0, 300, int(n)) for n in r.integers(0, 90, 40)]
+    model.classify(texts)
+    model.train(texts, 5)
+    whole = model.score(texts)
+    assert np.allclose(whole, [model.score([x])[0] for x in texts], rtol=1e-4)
+    for c in np.unique(model.to_class):
+        assert np.isclose((10 ** model.share[model.to_class == c]).sum(), 1)
 
 
 def test_pipeline(spark):
