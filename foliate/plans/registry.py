@@ -240,4 +240,4 @@ def excel_merge_overlaps(spark, sf_dir):
     return grid.overlapping(c.select(F.col("c_nationkey").cast("string").alias("sheet"), F.col("c_custkey").cast("bigint").alias("id"), r1.alias("r1"), c1.alias("c1"), (r1 + 3).alias("r2"), (c1 + 1).alias("c2")))
 
 
-from foliate.plans import md_edits  # noqa: E402, F401
+from foliate.plans import md_edits, workbooks  # noqa: E402, F401
