@@ -334,3 +334,40 @@ def excel_formula_delete_sheet(spark, sf_dir):
 @_query(_formula_sql("'C' || CAST(c_custkey + 2 AS VARCHAR)", _PLAIN[1], "'Other!B' || CAST(c_custkey + 2 AS VARCHAR)", "'''My Data''!$D' || CAST(c_custkey + 2 AS VARCHAR)"))
 def excel_formula_copy(spark, sf_dir):
     return _formulas(spark, sf_dir).select("c_custkey", formula.copied(F.col("f"), 2, 1).alias("f"))
+
+
+@_query("""SELECT CASE WHEN n <= 1 THEN 0 ELSE n END AS line, text FROM (SELECT row_number() OVER (ORDER BY n_nationkey) + 1 AS n, '| ' || n_nationkey || ' | ' || n_name || ' |' AS text FROM nation)
+UNION ALL SELECT 0, '| n_nationkey | n_name |' UNION ALL SELECT 1, '| --- | --- |'""")
+def convert_to_markdown(spark, sf_dir):
+    from foliate.functions import convert
+
+    return convert.table_to_markdown(_table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), ["n_nationkey"])
+
+
+def _html_sql() -> str:
+    from foliate.functions.convert import HTML_STEPS
+
+    out = "html"
+    for pattern, replacement in HTML_STEPS:
+        quoted = [x.replace("'", "''") for x in (pattern, replacement)]
+        out = f"regexp_replace({out}, '{quoted[0]}', '{quoted[1]}', 'g')"
+    return f"SELECT page_id, {out} AS text FROM pages"
+
+
+@_query(_html_sql())
+def html_to_markdown(spark, sf_dir):
+    from foliate.functions import convert
+
+    return _table(spark, sf_dir, "pages").select("page_id", convert.html_to_markdown(F.col("html")).alias("text"))
+
+
+@_query("""WITH x AS (SELECT o_orderkey, o_orderstatus AS b, CASE WHEN o_orderkey % 3 = 0 THEN 'X' ELSE o_orderstatus END AS a FROM orders), c AS (SELECT * FROM x WHERE a <> b)
+SELECT count(*) AS total, count(*) FILTER (o_orderkey < 1000) AS requested, CAST(0 AS BIGINT) AS normalization, CAST(0 AS BIGINT) AS fixture_gap, CAST(0 AS BIGINT) AS verifier_gap, count(*) FILTER (o_orderkey >= 1000) AS unapproved_loss, count(*) FILTER (o_orderkey >= 1000) = 0 AS preservation_ok, count(*) > 200 AS truncated FROM c""")
+def excel_verify_preservation(spark, sf_dir):
+    from foliate.operators import preservation
+
+    orders = _table(spark, sf_dir, "orders")
+    sheet = lambda v: orders.select(F.lit("S").alias("sheet"), F.col("o_orderkey").cast("bigint").alias("row"), F.lit(0).alias("col"), v.alias("txt"), F.lit(None).cast("double").alias("num"), F.lit(None).cast("string").alias("formula"))
+    after = F.when(F.col("o_orderkey") % 3 == 0, "X").otherwise(F.col("o_orderstatus"))
+    changes = preservation.cell_changes(sheet(F.col("o_orderstatus")), sheet(after))
+    return preservation.verdict(preservation.classified(changes, ["S!?,0/txt", "S!??,0/txt", "S!???,0/txt"]))
