@@ -66,7 +66,7 @@ class Ids(dict):
 
     def of(self, text: str) -> bytes:
         """A text's ids. A blank starts a token with the word after it, and a line's end is a token of its own, where neither stands beside another white space."""
-        if "\x00" in text or len(text.split()) != text.count(" ") + text.count("\n") + 1:
+        if "\x00" in text or " ".join(text.split()) != text.replace("\n", " "):
             return self.whole([text])[0]
         return b"".join(map(self.__getitem__, text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")))
 

@@ -306,6 +306,13 @@ def test_ids_are_the_tokenizers():
     assert [table.of(t) for t in texts] == table.whole(texts)
 
 
+def test_ids_where_separators_balance():
+    """As many other separators as surplus line ends: the totals agree, the text still goes through the tokenizer whole."""
+    table = packing.Ids(packing.tokenizer_path())
+    texts = ["x\ty\tz\n\n", "a b\u00a0c\u00a0d e\n\n", "col\tval\n\n\nname\tx", "\na\tb", "a\u2003b  c", "a b\nc d"]
+    assert [table.of(t) for t in texts] == table.whole(texts)
+
+
 def test_lm(spark, docs, nothing):
     got = lm.score(docs, head=3).collect()
     ws = [lm.words(t) for _, t in TEXTS]
