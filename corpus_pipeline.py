@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliate.llm import common, exact_dedup, mixing, packing, quality, simhash
+from foliate.llm import common, exact_dedup, mixing, near, packing, quality
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +26,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the row with the smallest id (of equal ids, the first by its text)."""
-    return simhash.keep_first(docs)
+    """Of each group of near copies (linked by a similarity of 0.8 or more of their sets of five-word shingles), the row with the smallest id (of equal ids, the first by its text)."""
+    return near.keep_first(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,15 +26,13 @@ from foliate.llm import common
 from foliate.llm.components import components
 
 SHINGLE, RADIUS, SEED, TILE = 3, 2, 42, 2048
-#: Shingle and radius of the two fingerprints by which the pipeline knows texts whose five-word shingles have a similarity of 0.8 or more.
-NEAR = ((3, 11), (5, 14))
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Unsigned; 0 for a text without words."""
+def hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of the shingles in order; a text of fewer words is one shingle, one without words none."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, n = b" ".join(words), len(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n)) + np.arange(n)
     starts = np.concatenate([[0], ends[:-1] + 1])
@@ -43,7 +41,12 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     else:
         starts, ends = starts[:1], ends[-1:]
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.uint64)
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Unsigned; 0 for a text without words."""
+    h = hashes(text, shingle)
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 1 << 16):
         ones += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -142,17 +145,6 @@ def grouped(docs: DataFrame, kinds: tuple[tuple[int, int], ...] = ((SHINGLE, RAD
     return fps.join(joined.join(firsts, "root").select("fp", "component_id"), "fp")
 
 
-def keep_first(docs: DataFrame, kinds: tuple[tuple[int, int], ...] = NEAR) -> DataFrame:
-    """Of each group of near copies one row, with docs' columns: the smallest id, of its rows (ids may repeat) the smallest digest of the text; equal rows in everything stay together."""
-    digest = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
-    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), digest.alias("digest"))
-    groups = common.staged(grouped(slim, kinds), "groups")
-    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("none "), "digest"))
-    first = groups.groupBy(group.alias("group")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")).alias("first"))
-    kept = first.select(F.col("first.doc_id").alias("__id"), F.col("first.digest").alias("__digest"))
-    return docs.alias("a").join(kept, F.col("a.doc_id").eqNullSafe(F.col("__id")) & (digest == F.col("__digest")), "left_semi").select(*docs.columns)
-
-
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return grouped(docs).select("doc_id", F.lower(F.lpad(F.hex(F.get("fp", F.lit(0))), 16, "0")).alias("fingerprint"), "component_id")

@@ -11,8 +11,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from foliate.llm import common, exact_dedup, fingerprints, lm, lyndon, mixing, packing, pii, quality, queries, simhash, substrings, toxicity
+from foliate.llm import common, exact_dedup, fingerprints, lm, lyndon, mixing, near, packing, pii, quality, queries, simhash, substrings, toxicity
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, rank int, row int, at string, h int, fp string"
@@ -196,6 +197,53 @@ def test_links(spark, radius):
     assert [root.get(int(x), int(x)) for x in fps] == [int(fps[c]) for c in comp]
 
 
+def near_texts():
+    """Random words, and copies by four kinds of edits whose similarity lies between 0.5 and 1; kind, text."""
+    r = np.random.default_rng(11)
+    vocabulary = [f"w{k}" for k in range(4000)]
+    out = []
+    for n in (3, 12, 100, 400):
+        for _ in range(5):
+            base = list(r.choice(vocabulary, n))
+            out.append(("base", base))
+            for kind in ("block", "append", "scattered", "cut"):
+                for share in r.uniform(0.005, 0.3, 5):
+                    k, x = max(1, int(share * n)), list(base)
+                    if kind == "block":
+                        a = int(r.integers(0, n - k + 1))
+                        x[a : a + k] = r.choice(vocabulary, k)
+                    elif kind == "append":
+                        x += list(r.choice(vocabulary, k))
+                    elif kind == "scattered":
+                        for a in r.integers(0, n, max(1, k // 5)):
+                            x[a] = str(r.choice(vocabulary))
+                    else:
+                        x = x[: max(1, n - k)]
+                    out.append((kind, x))
+    return [(kind, " ".join(x)) for kind, x in out] + [("empty", ""), ("empty", " ")]
+
+
+def test_near_copies_are_those_of_brute_force(spark):
+    """Links are exactly the pairs of a five-word similarity of 0.8 or more, whatever the edit; groups are their components."""
+    texts = near_texts()
+    shingles = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for _, t in texts)]
+    size = np.array([len(s) for s in shingles])
+    held = np.array([[len(a & b) for b in shingles] for a in shingles])
+    linked = 5 * held >= 4 * (size[:, None] + size[None, :] - held)
+    comp = np.arange(len(texts))
+    while not (comp == (new := np.array([comp[x].min() for x in linked]))).all():
+        comp = new
+    docs = common.staged(spark.createDataFrame([(k, t) for k, (_, t) in enumerate(texts)], "doc_id bigint, text string"), "test")
+    assert sorted(r.doc_id for r in near.keep_first(docs).collect()) == sorted(set(comp.tolist()))
+    rows = common.staged(near.sets(docs.withColumnRenamed("doc_id", "row")), "test")
+    everything = common.staged(near.postings(rows).withColumn("root", F.col("row")), "test")
+    found = {(r.u, r.v) for r in near.confirmed(near.proposed(everything, False), rows).collect()}
+    want = {(i, j) for i, j in zip(*np.nonzero(np.triu(linked, 1)), strict=True)}
+    assert found == want
+    for kind in ("block", "append", "scattered", "cut"):
+        assert sum(texts[j][0] == kind for _, j in want) >= 10
+
+
 def test_quality(spark, docs, nothing):
     got = quality.op5_quality(spark, "/root/testdata/sf0.01").toPandas().merge(common.table(spark, "/root/testdata/sf0.01", "labels").toPandas(), on="doc_id")
     held = got[got.held_out]
