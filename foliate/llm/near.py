@@ -6,7 +6,8 @@ BUCKETS numbers; any order gives the same links, this one short postings. A pair
 what follows the posting in both can reach the similarity. First neighbours in each posting are proposed and confirmed; then all pairs that
 these links leave in different components. So a large group of copies costs its number and not its square, and no link's effect is lost.
 
-Every proposed pair is confirmed by counting the shingles (their XXH64) that both sets hold. Defined results: a null text counts as empty; texts without
+Proposed pairs first meet by bitmaps of BITS bits: a bit that only one set has is a shingle that only it has, which bounds what both hold
+from above. Every pair that is left is confirmed by counting the shingles (their XXH64) that both sets hold. Defined results: a null text counts as empty; texts without
 words are copies of each other; null ids are rows like others and come last; an empty table gives an empty result; other columns go through.
 """
 
@@ -24,11 +25,11 @@ from foliate.llm import common
 from foliate.llm.components import components
 from foliate.llm.simhash import hashes
 
-SHINGLE, BUCKETS, BLOCK = 5, 1 << 18, 512
+SHINGLE, BUCKETS, BLOCK, BITS = 5, 1 << 18, 512, 2048
 
 
 def sets(slim: DataFrame) -> DataFrame:
-    """slim's columns other than text, and shingles: the different ones' hashes, zero alone for a text without words."""
+    """slim's columns other than text, and of the different shingles the hashes (zero alone for a text without words) and their bitmap."""
     other = [c for c in slim.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -37,9 +38,13 @@ def sets(slim: DataFrame) -> DataFrame:
                 batch = whole.slice(at, 256)
                 many = [np.unique(hashes(x, SHINGLE)) for x in batch.column("text").to_pylist()]
                 many = [(x if len(x) else np.zeros(1, np.uint64)).view(np.int64) for x in many]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in other), pa.array(many, pa.list_(pa.int64()))], [*other, "shingles"])
+                bits = np.zeros((len(many), BITS), np.uint8)
+                bits[np.repeat(np.arange(len(many)), [len(x) for x in many]), np.concatenate(many) & (BITS - 1)] = 1
+                bits = np.packbits(bits, axis=1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in other), pa.array(many, pa.list_(pa.int64())), pa.array(list(bits), pa.list_(pa.int64()))], [*other, "shingles", "bits"])
 
-    return slim.mapInArrow(run, slim.select(*other, F.array(F.lit(0).cast("bigint")).alias("shingles")).schema)
+    longs = F.array(F.lit(0).cast("bigint"))
+    return slim.mapInArrow(run, slim.select(*other, longs.alias("shingles"), longs.alias("bits")).schema)
 
 
 def bucket_counts(rows: DataFrame) -> np.ndarray:
@@ -87,10 +92,16 @@ def postings(rows: DataFrame) -> DataFrame:
 
 def confirmed(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """Of the pairs u, v of rows, those whose sets have the similarity."""
-    side = lambda name, of: rows.select(F.col("row").alias(name), F.col("shingles").alias(of))
-    both = pairs.distinct().join(side("u", "a"), "u").join(side("v", "b"), "v")
-    common_ones = F.size(F.array_intersect("a", "b"))
-    return both.select("u", "v", common_ones.alias("held"), (F.size("a") + F.size("b")).alias("sizes")).where("9 * held >= 4 * sizes").select("u", "v")
+    side = lambda name, of, *what: rows.select(F.col("row").alias(name), F.struct(*what).alias(of))
+    only = lambda x, y: F.aggregate(F.zip_with(f"{x}.bits", f"{y}.bits", lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, n: s + n)
+    n = F.size("shingles").alias("n")
+    distinct = common.staged(pairs.distinct(), "proposed")  # its size is known then: few pairs are broadcast and the sets stay where they are
+    rough = distinct.join(side("u", "a", n, "bits"), "u").join(side("v", "b", n, "bits"), "v")
+    most = F.least(F.col("a.n") - only("a", "b"), F.col("b.n") - only("b", "a"))
+    left = common.staged(rough.where(9 * most >= 4 * (F.col("a.n") + F.col("b.n"))).select("u", "v"), "pairs")
+    both = left.join(side("u", "a", "shingles"), "u").join(side("v", "b", "shingles"), "v")
+    held = F.size(F.array_intersect("a.shingles", "b.shingles"))
+    return both.where(9 * held >= 4 * (F.size("a.shingles") + F.size("b.shingles"))).select("u", "v")
 
 
 def proposed(lists: DataFrame, neighbours: bool) -> DataFrame:
@@ -98,7 +109,8 @@ def proposed(lists: DataFrame, neighbours: bool) -> DataFrame:
 
     def pairs(row: np.ndarray, n: np.ndarray, rest: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if neighbours:
-            yield row[:-1], row[1:]
+            good = 9 * np.minimum(rest[:-1], rest[1:]) >= 4 * (n[:-1] + n[1:])
+            yield row[:-1][good], row[1:][good]
         elif (root != root[0]).any():
             # rows come by size: those that a row can meet end where sizes pass 5/4 of its own
             ends = np.searchsorted(4 * n, 5 * n, "right")
@@ -156,7 +168,7 @@ def proposed(lists: DataFrame, neighbours: bool) -> DataFrame:
 
 
 def rooted(rows: DataFrame) -> DataFrame:
-    """rows: row, shingles. Returns node, root for each row that links to another."""
+    """rows: row, shingles, bits. Returns node, root for each row that links to another."""
     lists = common.staged(postings(rows), "postings")
     first = common.staged(confirmed(proposed(lists.withColumn("root", F.col("row")), True), rows), "links")
     roots = common.staged(components(first), "roots")
@@ -170,7 +182,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     digest = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
     slim = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), digest.alias("digest"))
     rows = common.staged(sets(slim), "sets")
-    roots = rooted(rows.select("row", "shingles"))
+    roots = rooted(rows.select("row", "shingles", "bits"))
     groups = rows.select("row", "doc_id", "digest").join(roots.withColumnRenamed("node", "row"), "row", "left")
     first = groups.groupBy(F.coalesce("root", "row").alias("group")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")).alias("first"))
     kept = first.select(F.col("first.doc_id").alias("__id"), F.col("first.digest").alias("__digest"))
