@@ -1,11 +1,13 @@
 """Personal data by base patterns and bootstrapped contextual extraction, in DataFrame functions only.
 
 Base spans: the regular expressions' leftmost non-overlapping matches per kind that pass their kind's test. Places come
-from the lengths of what lies between the matches. Bootstrapping: a candidate is a word with a digit; its lexical pattern is the two words
-before it. Candidates that a base span starts in are seeds. Patterns and instances (the candidates' words) form a
-bipartite graph; in each round a pattern scores the share of its distinct instances' scores, smoothed, and an instance that
+from the lengths of what lies between the matches. Bootstrapping: instances are base spans (the whole matched text; these are seeds)
+and, where no base span lies, runs of words of digits, words with a digit and words with an at sign inside; an instance's lexical pattern is the two words
+before it, whatever they hold, within BEFORE characters. Patterns and instances form a
+bipartite graph; in each of ROUNDS rounds a pattern scores the share of its distinct instances' scores, smoothed, and an instance that
 is no seed takes its best pattern's score. Patterns of at least `support` distinct seeds and a score of at least `confident`
-then mark their other instances, of at least LEAST_DIGITS digits, as further spans (kind id). Base spans always stay.
+then mark their other instances, of at least LEAST_DIGITS digits or an address's shape, as further spans (kind id). What is marked counts as a seed, and the
+rounds start again, until nothing more is marked. Base spans always stay.
 
 One pass reads the texts; the rest works on spans and candidates. Patterns and instances that many rows share are pre-aggregated
 to distinct edges with counts first. Defined results: a null text counts as empty; a text without spans has the digest of the empty string; null ids
@@ -26,33 +28,40 @@ EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
 CARD = r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){11,}+"  # matches of fewer digits fail in any case
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
-BLOCK, BEFORE, LEAST_DIGITS, ROUNDS, SUPPORT, CONFIDENT = 512, 80, 4, 3, 3, 0.8
+# a run of two to six words of digits and a phone's marks with nine digits or more, else a word with a digit or with an at sign inside
+RUN = r"(?=\+?\(?[0-9](?:[\x20().-]{0,3}+[0-9]){8})\+?+\(?+[0-9]++(?:[().-]++[0-9]++)*+\)?+(?:\x20\(?+[0-9]++(?:[().-]++[0-9]++)*+\)?+){1,5}+(?![^\x20\x09-\x0D.,;:!?])"
+CANDIDATE = rf"(?<![^\x20\x09-\x0D])(?:{RUN}|[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+|[^\x20\x09-\x0D@]++@[^\x20\x09-\x0D]++)"
+BLOCK, BEFORE, EARLIER, LEAST_DIGITS, ROUNDS, SUPPORT, CONFIDENT = 512, 80, 8, 4, 3, 3, 0.8
 
 
 def places(text: Column, pattern: str, keep) -> Column:
-    """array<struct<start, end, m, before>> of the matches m that keep(m) lets pass; before: the end of the text between the last match and this.
+    """array<struct<start, end, m, before>> of the matches m that keep(m) lets pass; before: the last BEFORE characters of the text before, other matches included.
 
     Places are running sums of lengths: within blocks of BLOCK matches, then over the blocks, so that a text of very many
-    matches costs no square of their number.
+    matches costs no square of their number. A block's first matches know the EARLIER matches before them.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
     both = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, g: F.struct(m.alias("m"), F.length(g).cast("bigint").alias("gap"), F.substring(g, -BEFORE, BEFORE).alias("before")))
     empty = F.array().cast("array<struct<start:bigint,end:bigint,m:string,before:string>>")
     zero = F.lit(0).cast("bigint")
+    last = lambda x: F.substring(x, -BEFORE, BEFORE)
 
     def one(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
-        item = F.struct(start.alias("start"), (start + F.length(x["m"])).alias("end"), x["m"].alias("m"), x["before"].alias("before"))
-        return F.struct((start + F.length(x["m"])).alias("at"), F.when(keep(x["m"]), F.array_append(acc["out"], item)).otherwise(acc["out"]).alias("out"))
+        before = last(F.concat(acc["tail"], x["before"]))
+        item = F.struct(start.alias("start"), (start + F.length(x["m"])).alias("end"), x["m"].alias("m"), before.alias("before"))
+        return F.struct((start + F.length(x["m"])).alias("at"), last(F.concat(before, x["m"])).alias("tail"), F.when(keep(x["m"]), F.array_append(acc["out"], item)).otherwise(acc["out"]).alias("out"))
 
     def block(acc: Column, b: Column) -> Column:
         moved = F.transform(b["out"], lambda x: F.struct((x["start"] + acc["at"]).alias("start"), (x["end"] + acc["at"]).alias("end"), x["m"].alias("m"), x["before"].alias("before")))
         return F.struct((acc["at"] + b["at"]).alias("at"), F.array_append(acc["out"], moved).alias("out"))
 
+    def earlier(a: Column, i: Column) -> Column:
+        return F.when(i > 0, last(F.array_join(F.transform(F.slice(a, F.greatest(i * BLOCK - EARLIER + 1, F.lit(1)), F.lit(EARLIER)), lambda x: F.concat(x["before"], x["m"])), ""))).otherwise("")
+
     def whole(a: Column) -> Column:
-        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / BLOCK).cast("int")), lambda i: F.aggregate(F.slice(a, i * BLOCK + 1, F.lit(BLOCK)), F.struct(zero.alias("at"), empty.alias("out")), one))
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / BLOCK).cast("int")), lambda i: F.aggregate(F.slice(a, i * BLOCK + 1, F.lit(BLOCK)), F.struct(zero.alias("at"), earlier(a, i).alias("tail"), empty.alias("out")), one))
         return F.when(F.size(a) > 0, F.aggregate(blocks, F.struct(zero.alias("at"), F.slice(F.array(empty), 1, 0).alias("out")), block, lambda acc: F.flatten(acc["out"]))).otherwise(empty)
 
     return F.get(F.transform(F.array(both), whole), F.lit(0))  # so that `both` is computed once
@@ -74,40 +83,56 @@ def small_parts(m: Column) -> Column:
     return F.forall(F.split(m, r"\."), lambda p: F.length(F.regexp_replace(p, "^0+(?=[0-9])", "")).between(1, 3) & (F.coalesce(F.regexp_replace(p, "^0+(?=[0-9])", "").try_cast("int"), F.lit(999)) <= 255))
 
 
+def context(before: Column) -> Column:
+    """The two words before, whatever they hold; null if there are fewer."""
+    words = F.regexp_extract_all(F.lower(before), F.lit(common.WORD), F.lit(0))
+    return F.get(F.transform(F.array(words), lambda w: F.when(F.size(w) >= 2, F.array_join(F.slice(w, -2, 2), " "))), F.lit(0))
+
+
 def base_spans(text: Column) -> Column:
-    """array<struct<start, kind, end>>, by start, then kind."""
+    """array<struct<start, kind, end, word, pattern>>, by start, then kind; word: the whole matched text."""
     kinds = [
         (text.contains("@"), EMAIL, lambda m: F.lit(True)),
         (text.rlike(r"[0-9]\.[0-9]"), IP, small_parts),
         (text.rlike(r"[0-9](?:[\x20-]?[0-9]){11}"), CARD, luhn),
         (text.contains("+"), PHONE, lambda m: F.length(digits(m)).between(9, 15)),
     ]
-    empty = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
-    as_kind = lambda k: lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end"))
+    empty = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,word:string,pattern:string>>")
+    as_kind = lambda k: lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end"), x["m"].alias("word"), context(x["before"]).alias("pattern"))
     found = [F.when(may, F.transform(places(text, pattern, keep), as_kind(k))).otherwise(empty) for k, (may, pattern, keep) in enumerate(kinds)]
     return F.sort_array(F.concat(*found))
 
 
 def candidates(text: Column) -> Column:
-    """array<struct<start, end, word, pattern>>: words with a digit and the two words before them, null unless both stand between the last such word and this one."""
-    words = lambda x: F.regexp_extract_all(F.lower(x["before"]), F.lit(common.WORD), F.lit(0))
+    """array<struct<start, end, word, pattern>>: runs and words that may be identifiers."""
     return F.when(
-        text.rlike("[0-9]"),
-        F.transform(places(text, CANDIDATE, lambda m: F.lit(True)), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["m"].alias("word"), F.when(F.size(words(x)) >= 2, F.array_join(F.slice(words(x), -2, 2), " ")).alias("pattern"))),
+        text.rlike("[0-9@]"),
+        F.transform(places(text, CANDIDATE, lambda m: F.lit(True)), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["m"].alias("word"), context(x["before"]).alias("pattern"))),
     ).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,word:string,pattern:string>>"))
 
 
+def fits(word: Column) -> Column:
+    """May be marked: enough digits, or an e-mail address's shape."""
+    return (F.length(digits(word)) >= LEAST_DIGITS) | word.rlike("[^@]@[^@]")
+
+
 def confident_patterns(instances: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confident: float = CONFIDENT) -> DataFrame:
-    """instances: pattern, word, seed. Returns pattern."""
+    """instances: pattern, word, seed. Returns pattern. What confident patterns mark counts as a seed from then on, until they mark nothing more."""
     edges = common.staged(instances.groupBy("pattern", "word").agg(F.max("seed").alias("seed")), "edges")
-    seeds = edges.groupBy("word").agg(F.max("seed").alias("seed"))
-    words = seeds.select("word", F.col("seed").cast("double").alias("score"), "seed")
-    for _ in range(rounds):
-        scores = edges.select("pattern", "word").join(words, "word")
-        patterns = common.staged(scores.groupBy("pattern").agg((F.sum("score") / (F.count(F.lit(1)) + 1)).alias("score"), F.sum(F.col("seed").cast("int")).alias("seeds")), "patterns")
-        best = edges.select("pattern", "word").join(patterns.where(F.col("seeds") >= support), "pattern").groupBy("word").agg(F.max("score").alias("best"))
-        words = common.staged(seeds.join(best, "word", "left").select("word", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"), "seed"), "words")
-    return patterns.where((F.col("seeds") >= support) & (F.col("score") >= confident)).select("pattern")
+    seeds = common.staged(edges.groupBy("word").agg(F.max("seed").alias("seed")), "seeds")
+    known = -1
+    while (now := seeds.where("seed").count()) > known:
+        known = now
+        words = seeds.select("word", F.col("seed").cast("double").alias("score"), "seed")
+        for _ in range(rounds):
+            scores = edges.select("pattern", "word").join(words, "word")
+            patterns = common.staged(scores.groupBy("pattern").agg((F.sum("score") / (F.count(F.lit(1)) + 1)).alias("score"), F.sum(F.col("seed").cast("int")).alias("seeds")), "patterns")
+            best = edges.select("pattern", "word").join(patterns.where(F.col("seeds") >= support), "pattern").groupBy("word").agg(F.max("score").alias("best"))
+            words = common.staged(seeds.join(best, "word", "left").select("word", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"), "seed"), "words")
+        good = patterns.where((F.col("seeds") >= support) & (F.col("score") >= confident)).select("pattern")
+        marked = edges.join(good, "pattern").where(fits(F.col("word"))).select("word").distinct().withColumn("marked", F.lit(True))
+        seeds = common.staged(seeds.join(marked, "word", "left").select("word", (F.col("seed") | F.coalesce("marked", F.lit(False))).alias("seed")), "seeds")
+    return good
 
 
 def spelled(spans: Column) -> Column:
@@ -120,13 +145,13 @@ def find(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = common.staged(docs.select("doc_id", F.monotonically_increasing_id().alias("row"), base_spans(text).alias("base"), candidates(text).alias("candidates")), "spans")
     found = rows.select("row", "base", F.explode("candidates").alias("c"))
-    starts = F.exists("base", lambda b: (b["start"] >= F.col("c.start")) & (b["start"] < F.col("c.end")))
     covered = F.exists("base", lambda b: (b["start"] < F.col("c.end")) & (F.col("c.start") < b["end"]))
-    found = common.staged(found.select("row", "c.*", starts.alias("seed"), covered.alias("covered")).where("pattern IS NOT NULL AND (seed OR NOT covered)"), "candidates")
-    good = confident_patterns(found.select("pattern", "word", "seed"))
-    new = found.where(~F.col("seed") & (F.length(digits(F.col("word"))) >= LEAST_DIGITS)).join(good, "pattern")
+    found = common.staged(found.where(~covered).select("row", "c.*").where("pattern IS NOT NULL"), "candidates")
+    seeds = rows.select(F.explode("base").alias("b")).select("b.pattern", "b.word", F.lit(True).alias("seed")).where("pattern IS NOT NULL")
+    good = confident_patterns(seeds.unionByName(found.select("pattern", "word", F.lit(False).alias("seed"))))
+    new = found.where(fits(F.col("word"))).join(good, "pattern")
     new = new.groupBy("row").agg(F.collect_list(F.struct("start", F.lit(len(KINDS) - 1).alias("kind"), "end")).alias("new"))
-    rows = rows.select("doc_id", "row", "base").join(new, "row", "left")
+    rows = rows.select("doc_id", "row", F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["kind"].alias("kind"), b["end"].alias("end"))).alias("base")).join(new, "row", "left")
     of = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("bigint")
     everything = F.when(F.col("new").isNull(), F.col("base")).otherwise(F.concat("base", "new"))
     return rows.select("doc_id", *(of(k).alias(f"n_{name}") for k, name in enumerate(KINDS[:4])), F.sha2(spelled(F.col("base")), 256).alias("base_sha256"), spelled(everything).alias("spans"), F.coalesce(F.size("new"), F.lit(0)).cast("bigint").alias("n_more"))

@@ -315,6 +315,25 @@ def test_pii_bootstrap(spark):
     assert got[99] == "id:20:30" and not any("id:" in s for i, s in got.items() if i != 99)
 
 
+def test_pii_bootstrap_of_whole_spans(spark):
+    """Phones and digitless addresses are whole instances; an unseen phone of several groups and an address without a dot are marked whole."""
+    rows = [(k, f"please call office +1 (743) 555-{3800 + k} or write to {chr(97 + k) * 3}@x.org now") for k in range(12)]
+    rows += [(50, "please call office (555) 123-4567, thanks"), (51, "or write to jo@localhost now"), (52, "in 7 call office 99-1234-77")]
+    got = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[50] == "id:19:33" and got[51] == "id:12:24" and got[52] == "id:17:27"
+    assert not any("id:" in s for i, s in got.items() if i < 50)
+
+
+def test_pii_bootstrap_over_two_hops(spark):
+    """A context that only newly found identifiers link to marks others too, also where a text has many candidates."""
+    rows = [(k, f"customer number 10.2.3.{k} x") for k in range(30)]
+    rows += [(100 + k, f"customer number AB-{1000 + k} x and dossier code AB-{1000 + k} x") for k in range(6)]
+    rows += [(200, "dossier code ZZ-7777 x"), (201, "1 " * 1500 + "customer number QQ-5555")]
+    got = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[200] == "id:13:20" and got[201] == "id:3016:3023"
+    assert got[100] == "id:16:23,id:43:50"
+
+
 def test_packing(docs, nothing):
     path = packing.tokenizer_path()
     table = packing.Ids(path)
