@@ -402,6 +402,13 @@ def test_windows_score_each_token_once():
     assert (start - first == lm.LEAD * seq).all()
 
 
+def test_windows_overlap_by_half():
+    """Every scored token but a text's first ones has at least half a window before it."""
+    assert lm.LEAD >= lm.WINDOW // 2
+    _, start, first, _ = lm.windows(np.array([200]))
+    assert np.diff(first).max() <= lm.WINDOW // 2 and np.diff(start).max() <= lm.WINDOW // 2
+
+
 def test_scores_do_not_depend_on_neighbours():
     """A text scores the same alone and among others; the subwords' shares of a class sum to one."""
     r = np.random.default_rng(2)
