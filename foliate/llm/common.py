@@ -6,13 +6,18 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space of the contracts: blank and the characters from tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+FAN = 32
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -32,10 +37,12 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of its own only where the session names none, as in tests."""
+    """The folder of spark.checkpoint.dir. One of its own only where the session names none and all of it runs in one process, as in tests."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="foliate-"))
         found = sc.getCheckpointDir()
     elif not sc.getCheckpointDir():
@@ -71,6 +78,52 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def numbered(docs: DataFrame, *columns: Column) -> DataFrame:
+    """The columns, and a number `row` for each row: its file's place among all paths, and its place in the file. So any scan of the table, however split, gives the same numbers. A table that isn't read from files is staged first."""
+    place = F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at")
+    try:
+        here = docs.select(*columns, *place)
+    except AnalysisException:
+        here = staged(docs.select(*columns), "numbered").select("*", *place)
+    files = here.select("__file").distinct().select("__file", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("__file")) - 1).cast("bigint").alias("__k"))
+    files = staged(files, "files")  # a row a file
+    few = files.count() <= 100_000
+    here = here.join(F.broadcast(files) if few else files, "__file")
+    return here.withColumn("row", F.shiftleft("__k", 40) + F.col("__at")).drop("__file", "__at", "__k")
+
+
+def tree_sum(partials: DataFrame) -> np.ndarray | None:
+    """The sum of the arrays of doubles in a column blob, one a partition of a plan without shuffles: FAN by FAN, so no task and not the driver gets more than FAN of them."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for blob in batch.column("blob").to_pylist():
+                x = np.frombuffer(blob)
+                total = x.copy() if total is None else total + x
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["blob"])
+
+    n = partials.rdd.getNumPartitions()
+    while n > 1:
+        n = -(-n // FAN)
+        partials = partials.repartition(n).mapInArrow(add, "blob binary")
+    found = partials.collect()
+    return sum((np.frombuffer(r.blob) for r in found[1:]), np.frombuffer(found[0].blob)) if found else None
+
+
+def most(counts: DataFrame, column: str, bound: int) -> DataFrame:
+    """The rows with the largest counts (1 or more), at most `bound` of them: whole steps of an eighth of a doubling, so that none of equal counts is cut off. What it decides from has a fixed size."""
+    step = F.floor(F.log2(column) * 8)
+    sizes = counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 8 * 64 rows
+    held, least = 0, None
+    for r in sorted(sizes, key=lambda r: -r.step):
+        if held + r.n > bound:
+            break
+        held, least = held + r.n, r.step
+    return counts.where(step >= least) if least is not None else counts.where("false")
+
+
 def id_text(doc_id: Column) -> Column:
     return doc_id.cast("string")
 

@@ -22,10 +22,11 @@ def components(edges: DataFrame) -> DataFrame:
     before = _state(e)
     while before[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # the smallest neighbours are written first, so that both sides of a join are dealt anew and a hub can be split
+        least = common.staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = common.staged(large, "stars")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = common.staged(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         e = common.staged(small.where("u <> v").distinct(), "edges")
         if (now := _state(e)) == before:
