@@ -3,7 +3,8 @@
 A text's fingerprint has a bit for each bit that is set in over half of its shingles' XXH64. The distinct fingerprints
 are dealt into tiles by the population counts of their four quarters: fingerprints within `radius` bits differ by at most
 `radius` in the sum of those four counts' differences, so a tile meets only tiles whose counts lie that close (21 of 83,521 kinds), and all
-others are skipped. Two tiles are compared by one numpy exclusive-or and a bit count; of the links found, each
+others are skipped. Pairs of tiles are made of tile ids; each pair then gets the two tiles' fingerprints in one shuffle. Two
+tiles are compared by one numpy exclusive-or and a bit count; of the links found, each
 pair of tiles returns a spanning forest, which keeps every link's effect and never the square of a group. Tiles hold about TILE
 fingerprints, however many share their counts. Components of the links are found over fingerprints, copies join them by equality.
 
@@ -44,15 +45,19 @@ def hashes(text: str | None, shingle: int) -> np.ndarray:
     return np.array([digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.uint64)
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Unsigned; 0 for a text without words."""
-    h = hashes(text, shingle)
+def majority(h: np.ndarray) -> int:
+    """Unsigned: the bits that are set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 1 << 16):
         ones += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Unsigned; 0 for a text without words."""
+    return majority(hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingles: tuple[int, ...] = (SHINGLE,)) -> DataFrame:
     """docs' columns other than text, and fp (signed), one for each size of shingles."""
     common.prepare(docs.sparkSession)
@@ -108,31 +113,35 @@ def links(distinct: DataFrame, radii: tuple[int, ...] = (RADIUS,), tile: int = T
     keyed = distinct.select("fp", sum((c * base**k for k, c in enumerate(counts)), F.lit(0)).cast("int").alias("kind"))
     sizes = keyed.groupBy("kind").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("n"))  # at most 17^4 rows
     tiles = keyed.join(F.broadcast(sizes), "kind").groupBy("kind", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int").alias("tile")).agg(F.flatten(F.collect_list("fp")).alias("fps"))
-    tiles = common.staged(tiles, "tiles")
+    tiles = common.staged(tiles.select("kind", (F.shiftleft(F.col("kind").cast("bigint"), 32) + F.col("tile")).alias("id"), "fps"), "tiles")
     digits = [F.expr(f"(kind div {base**k}) % {base}") for k in range(parts)]
     moves = [F.struct(F.lit(sum(d * base**k for k, d in enumerate(x))).alias("by"), F.lit(not any(x)).alias("same"), F.array(*map(F.lit, x)).alias("d")) for x in near(radius, parts)]
-    asks = tiles.select("kind", "tile", F.col("fps").alias("a"), F.explode(F.array(*moves)).alias("m"), F.array(*digits).alias("q"))
+    asks = tiles.select("kind", F.col("id").alias("a"), F.explode(F.array(*moves)).alias("m"), F.array(*digits).alias("q"))
     inside = F.forall(F.zip_with("q", "m.d", lambda q, d: q + d), lambda x: (x >= 0) & (x < base))
-    asks = asks.where(inside).select((F.col("kind") + F.col("m.by")).alias("kind"), F.col("tile").alias("of"), "a", F.col("m.same").alias("same"))
-    # each pair of tiles goes to a task of its own choosing, or a kind with many tiles would be one task
-    asks = asks.join(tiles.select("kind", "tile"), "kind").where(~F.col("same") | (F.col("of") <= F.col("tile")))
-    pairs = asks.join(tiles.withColumnRenamed("fps", "b"), ["kind", "tile"])
-    pairs = pairs.select("a", F.when(F.col("same") & (F.col("of") == F.col("tile")), F.lit(None)).otherwise(F.col("b")).alias("b"))
+    asks = asks.where(inside).select((F.col("kind") + F.col("m.by")).alias("kind"), "a", F.col("m.same").alias("same"))
+    pairs = asks.join(tiles.select("kind", F.col("id").alias("b")), "kind").where(~F.col("same") | (F.col("a") <= F.col("b"))).select("a", "b")
+    sides = F.array(F.struct(F.col("a").alias("id"), F.lit(0).alias("side")), F.struct(F.col("b").alias("id"), F.lit(1).alias("side")))
+    asked = pairs.select("a", "b", F.explode(F.when(F.col("a") == F.col("b"), F.slice(sides, 1, 1)).otherwise(sides)).alias("s")).select("a", "b", "s.*")
+    # a pair goes to a task of its own choosing, or a kind with many tiles would be one task
+    dealt = asked.join(tiles.select("id", "fps"), "id").repartition(8 * common.partitions(spark), "a", "b").sortWithinPartitions("a", "b", "side")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind, held = pa.list_(pa.int64()), None
         for batch in batches:
             us, vs = [], []
-            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
-                x = a.values.to_numpy().view(np.uint64).reshape(-1, len(radii))
-                y = b.values.to_numpy().view(np.uint64).reshape(-1, len(radii)) if b.is_valid else x
+            for a, b, side, fps in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("side").to_pylist(), batch.column("fps"), strict=True):
+                x = fps.values.to_numpy().view(np.uint64).reshape(-1, len(radii))
+                if side == 0 and a != b:
+                    held = x  # its pair's other side is the next row
+                    continue
+                y, x = x, x if a == b else held
                 if found := forest(x, y, radii):
                     i, j = np.array(found).T
                     us.append(x[i]), vs.append(y[j])
             if us:
-                kind = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(list(np.concatenate(z).view(np.int64)), kind) for z in (us, vs)], ["u", "v"])
 
-    return pairs.repartition(8 * common.partitions(spark)).mapInArrow(compare, "u array<bigint>, v array<bigint>")
+    return dealt.select("a", "b", "side", "fps").mapInArrow(compare, "u array<bigint>, v array<bigint>")
 
 
 def grouped(docs: DataFrame, kinds: tuple[tuple[int, int], ...] = ((SHINGLE, RADIUS),)) -> DataFrame:
