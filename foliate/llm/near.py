@@ -1,9 +1,10 @@
-"""Near copies by exact similarity: texts link if the Jaccard similarity of their sets of five-word shingles is 4/5 or more.
+"""Near copies by SimHash, completed and confirmed by exact similarity: texts link if the Jaccard similarity of their sets of five-word shingles is 4/5 or more.
 
-Candidates: in one order of all shingles, texts that link share one of their first n - ceil(4n/5) + 1 shingles (n: the size of
+Fingerprints of five-word shingles that the tiled comparison (see simhash) links propose the first pairs. No radius reaches all texts of
+a similarity of 4/5 without linking others, so every pair is confirmed by counting, and what fingerprints miss comes by exact candidates: in one order of all shingles, texts that link share one of their first n - ceil(4n/5) + 1 shingles (n: the size of
 the set), so only these go to postings and no link is missed. The order takes rare shingles first, by counts in a table of
 BUCKETS numbers; any order gives the same links, this one short postings. A pair is proposed at a posting only if its sizes and
-what follows the posting in both can reach the similarity. First neighbours in each posting are proposed and confirmed; then all pairs that
+what follows the posting in both can reach the similarity. Pairs of near fingerprints and neighbours in each posting are proposed and confirmed first; then all pairs that
 these links leave in different components. So a large group of copies costs its number and not its square, and no link's effect is lost.
 
 Proposed pairs first meet by bitmaps of BITS bits: a bit that only one set has is a shingle that only it has, which bounds what both hold
@@ -13,7 +14,6 @@ words are copies of each other; null ids are rows like others and come last; an
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,49 +23,43 @@ from pyspark.sql import functions as F
 
 from foliate.llm import common
 from foliate.llm.components import components
-from foliate.llm.simhash import hashes
+from foliate.llm.simhash import RADIUS, hashes, links, majority
 
 SHINGLE, BUCKETS, BLOCK, BITS = 5, 1 << 18, 512, 2048
 
 
 def sets(slim: DataFrame) -> DataFrame:
-    """slim's columns other than text, and of the different shingles the hashes (zero alone for a text without words) and their bitmap."""
+    """slim's columns other than text; of the different shingles the hashes (zero alone for a text without words) and their bitmap; the fingerprint, as an array of one."""
     other = [c for c in slim.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                many = [np.unique(hashes(x, SHINGLE)) for x in batch.column("text").to_pylist()]
+                many = [hashes(x, SHINGLE) for x in batch.column("text").to_pylist()]
+                fps = np.array([majority(x) for x in many], np.uint64).reshape(-1, 1).view(np.int64)
+                many = [np.unique(x) for x in many]
                 many = [(x if len(x) else np.zeros(1, np.uint64)).view(np.int64) for x in many]
                 bits = np.zeros((len(many), BITS), np.uint8)
                 bits[np.repeat(np.arange(len(many)), [len(x) for x in many]), np.concatenate(many) & (BITS - 1)] = 1
                 bits = np.packbits(bits, axis=1).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in other), pa.array(many, pa.list_(pa.int64())), pa.array(list(bits), pa.list_(pa.int64()))], [*other, "shingles", "bits"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in other), pa.array(many, pa.list_(pa.int64())), pa.array(list(bits), pa.list_(pa.int64())), pa.array(list(fps), pa.list_(pa.int64()))], [*other, "shingles", "bits", "fp"])
 
     longs = F.array(F.lit(0).cast("bigint"))
-    return slim.mapInArrow(run, slim.select(*other, longs.alias("shingles"), longs.alias("bits")).schema)
+    return slim.mapInArrow(run, slim.select(*other, longs.alias("shingles"), longs.alias("bits"), longs.alias("fp")).schema)
 
 
 def bucket_counts(rows: DataFrame) -> np.ndarray:
-    """How many sets' shingles fall into each bucket. Partial sums have a fixed size; about sqrt(partitions) tasks add them."""
+    """How many sets' shingles fall into each bucket. Partial sums have a fixed size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
+        total = np.zeros(BUCKETS)
         for batch in batches:
             total += np.bincount(batch.column("shingles").flatten().to_numpy() & (BUCKETS - 1), minlength=BUCKETS)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["blob"])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
-        for batch in batches:
-            for blob in batch.column("blob").to_pylist():
-                total += np.frombuffer(blob, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["blob"])
-
-    partial = rows.select("shingles").mapInArrow(run, "blob binary")
-    n = max(1, math.isqrt(partial.rdd.getNumPartitions()))
-    return sum((np.frombuffer(r.blob, np.int64) for r in partial.repartition(n).mapInArrow(add, "blob binary").collect()), np.zeros(BUCKETS, np.int64))
+    total = common.tree_sum(rows.select("shingles").mapInArrow(run, "blob binary"))
+    return np.zeros(BUCKETS) if total is None else total
 
 
 def postings(rows: DataFrame) -> DataFrame:
@@ -167,10 +161,19 @@ def proposed(lists: DataFrame, neighbours: bool) -> DataFrame:
     return lists.repartition(n, "h").sortWithinPartitions("h", "n", "row").mapInArrow(run, "u bigint, v bigint")
 
 
+def by_fingerprint(rows: DataFrame) -> DataFrame:
+    """u, v: pairs of rows whose fingerprints are equal (each with the first of them) or that the tiled comparison links (the first ones)."""
+    first = common.staged(rows.groupBy("fp").agg(F.min("row").alias("first")), "firsts")
+    equal = rows.select("fp", "row").join(first, "fp").where("row <> first").select(F.col("first").alias("u"), F.col("row").alias("v"))
+    pairs = links(first.select("fp")).join(first.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(first.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v")
+    return equal.unionByName(pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")))
+
+
 def rooted(rows: DataFrame) -> DataFrame:
-    """rows: row, shingles, bits. Returns node, root for each row that links to another."""
+    """rows: row, shingles, bits, fp. Returns node, root for each row that links to another."""
     lists = common.staged(postings(rows), "postings")
-    first = common.staged(confirmed(proposed(lists.withColumn("root", F.col("row")), True), rows), "links")
+    first = proposed(lists.withColumn("root", F.col("row")), True).unionByName(by_fingerprint(rows))
+    first = common.staged(confirmed(first, rows), "links")
     roots = common.staged(components(first), "roots")
     lists = lists.join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
     return components(first.unionByName(confirmed(proposed(lists, False), rows)))
@@ -182,7 +185,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     digest = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
     slim = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), digest.alias("digest"))
     rows = common.staged(sets(slim), "sets")
-    roots = rooted(rows.select("row", "shingles", "bits"))
+    roots = rooted(rows.select("row", "shingles", "bits", "fp"))
     groups = rows.select("row", "doc_id", "digest").join(roots.withColumnRenamed("node", "row"), "row", "left")
     first = groups.groupBy(F.coalesce("root", "row").alias("group")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")).alias("first"))
     kept = first.select(F.col("first.doc_id").alias("__id"), F.col("first.digest").alias("__digest"))
