@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliate.llm import common
@@ -104,25 +104,22 @@ def neighbours(docs: DataFrame, groups: int | None = None) -> DataFrame:
     cuts = sorted(set(docs.where("doc_id IS NOT NULL").approxQuantile("doc_id", [k / n for k in range(1, n)], 0.2 / n) or []), reverse=True)
     # descending: group 0 has the largest ids, the last group the null ones too; blocks of cuts keep the search short
     width = max(1, math.isqrt(len(cuts)))
-    blocks = [cuts[k : k + width] for k in range(0, len(cuts), width)]
+    # one literal text, however many cuts there are
+    numbers = lambda values: F.split(F.lit(" ".join(str(int(c)) for c in values)), " ").cast("array<bigint>")
     above = lambda values: F.size(F.filter(values, lambda c: c > F.col("doc_id")))
     grp = F.lit(len(cuts))
     if cuts:
-        block = above(F.array(*(F.lit(int(x[-1])) for x in blocks)))  # blocks that lie above as a whole
-        inside = F.get(F.array(*(F.array(*(F.lit(int(c)) for c in x)) for x in blocks)), block)
-        grp = F.when(F.col("doc_id").isNull(), grp).otherwise(F.least(block * width + F.coalesce(above(inside), F.lit(0)), grp))
+        block = above(numbers(cuts[min(k + width, len(cuts)) - 1] for k in range(0, len(cuts), width)))  # blocks that lie above as a whole
+        inside = F.slice(numbers(cuts), block * width + 1, F.lit(width))
+        grp = F.when(F.col("doc_id").isNull(), grp).otherwise(F.least(block * width + above(inside), grp))
     placed = docs.withColumn("grp", grp.cast("int"))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), (-F.col("doc_id")).alias("down"), F.sha2("text", 256).alias("digest"))
-    top = placed.select("grp", "doc_id").groupBy("grp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), (-F.col("doc_id")).alias("down"))).alias("t")).collect()  # a row a group
-    tops = {r.grp: r.t for r in top}
-    if not tops:
-        return placed.withColumn("copy", F.lit(0))
-    held = sorted(tops)
-    to = dict(zip(held[1:] + held[:1], held, strict=True))  # the group that each group's first document ends
-    wanted = [-tops[g].down for g in held if tops[g].down is not None]
-    none = len(wanted) < len(held)  # the last group has null ids only
-    first = placed.where(F.col("doc_id").isin(wanted) | (F.lit(none) & F.col("doc_id").isNull()))
-    heads = first.groupBy("grp").agg(F.min(order).alias("o"), F.min_by("text", order).alias("text")).select((-F.col("o.down")).alias("doc_id"), "text", F.element_at(F.create_map(*(F.lit(x) for kv in to.items() for x in kv)), F.col("grp")).alias("grp"), F.lit(1).alias("copy"))
+    # a row a group: its first document's id, and the group that this document ends: the one before, of the first group the last
+    tops = placed.select("grp", "doc_id").groupBy("grp").agg(F.max("doc_id").alias("top"))
+    by_grp = Window.partitionBy(F.lit(0)).orderBy("grp")
+    tops = common.staged(tops.withColumn("to", F.coalesce(F.lag("grp").over(by_grp), F.max("grp").over(Window.partitionBy(F.lit(0))))), "tops")
+    first = placed.alias("p").join(F.broadcast(tops.alias("t")), (F.col("p.grp") == F.col("t.grp")) & F.col("p.doc_id").eqNullSafe(F.col("t.top"))).select("doc_id", "text", "to")
+    heads = first.groupBy("to").agg(F.min_by(F.struct("doc_id", "text"), order).alias("x")).select("x.*", F.col("to").alias("grp"), F.lit(1).alias("copy"))
     dealt = placed.withColumn("copy", F.lit(0)).unionByName(heads).repartitionById(len(cuts) + 1, F.col("grp"))
     return dealt.withColumn("digest", F.sha2("text", 256)).sortWithinPartitions("copy", F.col("doc_id").desc_nulls_last(), "digest").drop("digest")
 
