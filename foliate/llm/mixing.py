@@ -6,8 +6,8 @@ which falls into one source's stretch of the cumulative targets; the slot's rank
 that it takes. Blocks that the schedule's last slots leave out follow at its end, and the last block of a source is cut at
 its target, so a source's taken words are its target rounded.
 
-All sums within a source go by buckets of the hash first, so that a source with a third of all rows is no
-single task. Defined results: null texts have size 0 and are taken 0 times; a null source is a source, the last one;
+All sums within a source go by buckets of the hash first (its leading bits, more of them for more rows; the order is that of the hash whatever
+their number), so that a source with a third of all rows is no single task. Defined results: null texts have size 0 and are taken 0 times; a null source is a source, the last one;
 equal rows are taken like different documents; an empty table gives an empty result; other columns aren't read.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from foliate.llm import common
 
 WEIGHTS, SHARE, REPEAT, BLOCK = (3, 1, 2), (3, 2), 2, 256
-BUCKETS, CHUNK, CELLS = 1024, 1 << 15, 1 << 12
+ROWS, CHUNK, CELLS = 20_000, 1 << 12, 1 << 12  # rows a bucket, slots a chunk, cells of the targets' line
 GOLDEN, TURN = 2654435769, 1 << 32  # 2^32 / phi
 
 
@@ -69,7 +69,9 @@ def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     key = F.xxhash64(F.col("doc_id").cast("string"))
     sizes = common.staged(docs.select("doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(common.WORD)), F.lit(0)).cast("bigint").alias("size"), key.alias("key")), "sizes")
     sources = common.staged(targets(sizes), "targets")
-    rows = sizes.withColumn("bucket", F.pmod("key", F.lit(BUCKETS)))
+    bits = max(10, (sizes.count() // ROWS).bit_length())
+    # an arithmetic shift: buckets ascend with the hash
+    rows = sizes.withColumn("bucket", F.shiftright("key", 64 - bits))
     inside = F.sum("size").over(Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     per = rows.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     per = per.withColumn("before", F.sum("n").over(Window.partitionBy("source").orderBy("bucket")) - F.col("n"))
