@@ -53,6 +53,7 @@ class Ids(dict):
         self.tokenizer.encode_special_tokens = True
         with open(path.replace(".json", ".tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.blank = [i for x, i in ranks.items() if x[:1] == b" "]  # ids that start with a blank
         self.encode_piece = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def __missing__(self, piece: str) -> bytes:
@@ -191,14 +192,12 @@ def plan(histogram: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
     out = []
     for k in np.argsort(-counts, kind="stable"):
         need = Counter(found[k])
-        n = min([round(float(counts[k])), *(int(left[x]) // c for x, c in need.items())])
+        n = min([int(counts[k] + 1e-6), *(int(left[x]) // c for x, c in need.items())])
         if n > 0:
             out.append((found[k], n))
             for x, c in need.items():
                 left[x] -= n * c
-    whole = out + best_fit(left, size)
-    plain = best_fit(histogram.astype(np.int64), size)  # never worse than without the fit
-    return min(whole, plain, key=lambda p: sum(n for _, n in p))
+    return out + best_fit(left, size)
 
 
 def stretches(planned: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int]]:
