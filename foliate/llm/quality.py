@@ -2,8 +2,9 @@
 
 Each text becomes a fixed number of statistics (shares of kinds of bytes, repeated words and lines, compressibility,
 lengths). cos(Wx + b) with Gaussian W approximates a Gaussian kernel on them. Every partition of labelled rows adds up its
-own X'X and X'y; a tree of tasks adds those, the driver solves one system of fixed size. All labelled rows count. The scores'
-histogram (BINS bins) with its labels is made monotone by pooling neighbours, which gives probabilities.
+own X'X and X'y for each of FITS folds of a hash of the id; a tree of tasks adds those, and the driver solves systems of fixed size: one of
+all folds, which scores documents, and one without each fold. The calibration sees each labelled row by the system that didn't: the
+histogram (BINS bins) of these scores with its labels is made monotone by pooling neighbours, which gives probabilities. All labelled rows count.
 
 Defined results: a null text is scored as an empty one; equal texts have equal scores; a document without a label is only scored;
 a null id is scored and never learned from; without labelled rows every score is 0.5; an empty table gives an empty result;
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from foliate.llm import common
 
-N_FEATURES, RIDGE, BINS, FOLDS, THRESHOLD, SEED = 320, 1e-3, 512, 5, 0.3, 17
+N_FEATURES, RIDGE, BINS, FOLDS, FITS, THRESHOLD, SEED = 320, 1e-3, 512, 5, 3, 0.3, 17
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _KINDS = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" ", b"\n", b"!", b"?", b".", b",", b"|", b"#$%&*", b"<>{}[]\\=_~^`", b"'\"", b"()-/:;+@"]
 _KIND_OF = np.zeros((256, len(_KINDS) + 1))
@@ -87,12 +88,12 @@ class Model:
         self.mean, self.scale = mean, scale
         self.w = rng.normal(0, 1 / math.sqrt(len(mean)), (len(mean), N_FEATURES))
         self.b = rng.uniform(0, 2 * math.pi, N_FEATURES)
-        self.ridge = np.zeros(N_FEATURES + len(mean) + 1)
+        self.ridge = np.zeros(N_FEATURES + 1)
         self.edges, self.values = np.array([0.0, 1.0]), np.array([0.5, 0.5])
 
     def features(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.scale, -6, 6)
-        return np.concatenate([math.sqrt(2 / N_FEATURES) * np.cos(z @ self.w + self.b), z / 6, np.ones((len(x), 1))], axis=1)
+        return np.concatenate([math.sqrt(2 / N_FEATURES) * np.cos(z @ self.w + self.b), np.ones((len(x), 1))], axis=1)
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         return np.clip(self.features(x) @ self.ridge, 0, 1)
@@ -116,55 +117,46 @@ def isotonic(counts: np.ndarray, sums: np.ndarray) -> np.ndarray:
     return np.concatenate([np.full(int(k), s / n) for n, s, k in blocks]) if blocks else np.zeros(0)
 
 
-def _add_up(partials: DataFrame) -> np.ndarray | None:
-    """The sum of one blob of doubles a partition, added up in about sqrt(partitions) tasks, a blob at a time."""
-
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = None
-        for pdf in batches:
-            for blob in pdf["blob"]:
-                x = np.frombuffer(blob)
-                total = x.copy() if total is None else total + x
-        if total is not None:
-            yield pd.DataFrame({"blob": [total.tobytes()]})
-
-    n = max(1, math.isqrt(partials.rdd.getNumPartitions()))
-    found = partials.repartition(n).mapInPandas(add, "blob binary").collect() if n > 1 else partials.collect()
-    return sum((np.frombuffer(r.blob) for r in found[1:]), np.frombuffer(found[0].blob)) if found else None
+def solve(sums: np.ndarray) -> np.ndarray:
+    """Ridge weights of summed normal equations, labels last; the bias (the last feature, always 1) is hardly held back."""
+    d = len(sums) - 1
+    n = max(1.0, sums[d - 1, d - 1])
+    return np.linalg.solve(sums[:d, :d] / n + RIDGE * np.diag([1.0] * (d - 1) + [1e-6]), sums[:d, d] / n)
 
 
 def fit(train: DataFrame) -> Model | None:
-    """train: x, label. None if it has no rows."""
+    """train: x, label, fold (0 to FITS - 1). None if it has no rows."""
     parts = [f(F.col("x")[i]).alias(f"{k}{i}") for k, f in (("m", F.avg), ("s", F.stddev_pop)) for i in range(N_STATISTICS)]
     stats = train.agg(*parts, F.count(F.lit(1)).alias("n")).first()
     if not stats["n"]:
         return None
     model = Model(np.array([stats[f"m{i}"] for i in range(N_STATISTICS)]), np.maximum(0.02, [stats[f"s{i}"] for i in range(N_STATISTICS)]))
+    d = len(model.ridge)
 
     def equations(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = None
+        total = np.zeros((FITS, d + 1, d + 1))
         for pdf in batches:
-            if len(pdf):
-                z = np.concatenate([model.features(_matrix(pdf)), pdf[["label"]].to_numpy(np.float64)], axis=1)
-                total = z.T @ z if total is None else total + z.T @ z
-        if total is not None:
-            yield pd.DataFrame({"blob": [total.tobytes()]})
+            for fold, part in pdf.groupby("fold"):
+                z = np.concatenate([model.features(_matrix(part)), part[["label"]].to_numpy(np.float64)], axis=1)
+                total[fold] += z.T @ z
+        yield pd.DataFrame({"blob": [total.tobytes()]})
 
-    d = len(model.ridge)
-    sums = _add_up(train.mapInPandas(equations, "blob binary")).reshape(d + 1, d + 1)
-    n = stats["n"]
-    model.ridge = np.linalg.solve(sums[:d, :d] / n + RIDGE * np.diag([1.0] * (d - 1) + [1e-6]), sums[:d, d] / n)
+    sums = common.tree_sum(train.mapInPandas(equations, "blob binary")).reshape(FITS, d + 1, d + 1)
+    whole = sums.sum(0)
+    others = np.array([solve(whole - x if (whole - x)[d - 1, d - 1] else whole) for x in sums])  # a fold that holds all rows is its own
 
     def bins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((2, BINS))
         for pdf in batches:
             if len(pdf):
-                at = np.minimum((model.raw(_matrix(pdf)) * BINS).astype(int), BINS - 1)
+                raw = np.clip((model.features(_matrix(pdf)) * others[pdf["fold"].to_numpy()]).sum(1), 0, 1)
+                at = np.minimum((raw * BINS).astype(int), BINS - 1)
                 total += [np.bincount(at, minlength=BINS), np.bincount(at, pdf["label"].to_numpy(np.float64), BINS)]
         yield pd.DataFrame({"blob": [total.tobytes()]})
 
-    counts, ones = _add_up(train.mapInPandas(bins, "blob binary")).reshape(2, BINS)
+    counts, ones = common.tree_sum(train.mapInPandas(bins, "blob binary")).reshape(2, BINS)
     held = counts > 0
+    model.ridge = solve(whole)
     model.edges, model.values = (np.flatnonzero(held) + 0.5) / BINS, isotonic(counts[held], ones[held])
     return model
 
@@ -186,7 +178,8 @@ def scored(stats: DataFrame, model: Model | None) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, keep: Column | None = None) -> DataFrame:
     """labels: doc_id, label. Learns from labelled documents whose crc32 remainder isn't 0, scores all."""
     stats = common.staged(document_statistics(docs, keep), "statistics")
-    train = common.staged(stats.join(labels, "doc_id").where(common.remainder(F.col("doc_id"), FOLDS) != 0).select("x", "label"), "train")
+    fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FITS)).cast("int").alias("fold")
+    train = common.staged(stats.join(labels, "doc_id").where(common.remainder(F.col("doc_id"), FOLDS) != 0).select("x", "label", fold), "train")
     return scored(stats, fit(train))
 
 
