@@ -2,10 +2,12 @@
 
 A document's evidence is its set of words: each word adds the weights of itself and of its first four, five and six
 letters (hashed). The weights are a logistic regression with an L1 penalty. In the labelled sentences that name a group, the name is
-swapped for others of the same list, and the squared change of score that the swap causes is penalised, so that a group's
-name by itself says nothing. Pairs of names count PRIOR times even if no sentence has them, so that unseen names get the same.
+swapped for others of the same list, and the squared change of the score's log-odds that the swap causes is penalised, so that a group's
+name by itself says nothing. (Log-odds, as changes of probabilities vanish wherever scores are near 0 or 1: there a name could keep any weight.)
+Sentences of a name alone count PRIOR times for each pair of names, so that names that no labelled sentence has get the same.
 
-It is fitted on a sample of labelled rows by a hash of the id, of max_rows rows in expectation (a documented bound); all documents are scored, whole.
+It is fitted on a sample of labelled rows by a hash of the id, of max_rows rows in expectation (a documented bound); features that say too little
+about the label are dropped by sums over the sample before it goes to the driver. All documents are scored, whole.
 Defined results: a null text is scored as an empty one; a null id is scored and never learned from; without labelled
 rows, or with one class only, the score is the share of ones (0 without rows); an empty table gives an empty result; other columns aren't read.
 """
@@ -14,7 +16,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from foliate.llm import common
 
-MAX_ROWS, BITS, FOLDS, PENALTY, FAIRNESS, PRIOR, ROUNDS = 16_000, 20, 5, 2e-4, 1.0, 4.0, 300
+MAX_ROWS, BITS, FOLDS, PENALTY, FAIRNESS, PRIOR, ROUNDS = 16_000, 20, 5, 2e-4, 1.0, 4.0, 1000
 #: Names of groups, by language and by kind; within a list each may stand for another.
 IDENTITIES = (
     ("women", "men", "girls", "boys"),
@@ -65,17 +67,22 @@ def swaps(text: str | None) -> list[tuple[str, str]]:
     out = []
     for sentence in _SENTENCE.split((text or "").lower()):
         if not _GROUP.keys().isdisjoint(found := set(_WORD.findall(sentence))):
-            out += [(a, b) for a in found & _GROUP.keys() for b in _GROUP[a] if b not in found]
+            out += [(a, b) for a in sorted(found & _GROUP.keys()) for b in _GROUP[a] if b not in found]
     return out
 
 
 _evidence = Evidence()
 
 
+def features(found: Iterable[str]) -> list[int]:
+    """Of words; one that several words have is there as often."""
+    return [f for w in found for f in _evidence[w]]
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text").to_pylist()
-        ids = [sorted(f for w in words(x) for f in _evidence[w]) for x in texts]
+        ids = [sorted(features(words(x))) for x in texts]
         said = [[w for pair in swaps(x) for w in pair] for x in texts]
         yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(ids, pa.list_(pa.int32())), pa.array(said, pa.list_(pa.string()))], ["label", "ids", "swaps"])
 
@@ -91,78 +98,103 @@ class Model:
         return sum(self.by_id.get(f, 0.0) for f in _evidence[w])
 
 
-def fit(labels: np.ndarray, ids: list[np.ndarray], pairs: list[tuple[str, str]]) -> Model:
-    """labels: 0 or 1; ids: each row's features; pairs: swaps of group names."""
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+class Problem:
+    """What fit() minimises: the mean log loss of documents, and `fairness` times the mean squared change of log-odds by swaps; value and slope at weights and bias."""
+
+    def __init__(self, y: np.ndarray, rows: tuple[np.ndarray, np.ndarray], before: tuple[np.ndarray, np.ndarray], after: tuple[np.ndarray, np.ndarray], n_swaps: int, d: int, fairness: float):
+        """rows, before, after: (which row or swap, which feature) of documents, of the name, and of the new name."""
+        self.y, self.rows, self.before, self.after, self.n, self.d, self.weight = y, rows, before, after, n_swaps, d, fairness / max(1, n_swaps)
+
+    def log_odds(self, w: np.ndarray, b: float) -> np.ndarray:
+        return np.bincount(self.rows[0], w[self.rows[1]], len(self.y)) + b
+
+    def changes(self, w: np.ndarray) -> np.ndarray:
+        a, b = (np.bincount(who, w[what], self.n) for who, what in (self.before, self.after))
+        return b - a
+
+    def value(self, w: np.ndarray, b: float) -> float:
+        z = self.log_odds(w, b)
+        return float((np.logaddexp(0, z) - self.y * z).mean() + self.weight * (self.changes(w) ** 2).sum())
+
+    def slope(self, w: np.ndarray, b: float) -> tuple[np.ndarray, float]:
+        r = (_sigmoid(self.log_odds(w, b)) - self.y) / len(self.y)
+        g, change = np.bincount(self.rows[1], r[self.rows[0]], self.d), 2 * self.weight * self.changes(w)
+        for (who, what), sign in ((self.before, -1), (self.after, 1)):
+            g = g + np.bincount(what, sign * change[who], self.d)
+        return g, r.sum()
+
+
+def fit(labels: np.ndarray, ids: list[np.ndarray], said: list[tuple[str, str]], chosen: np.ndarray, fairness: float = FAIRNESS) -> Model:
+    """labels: 0 or 1; ids: each row's features; said: swaps (name, new name); chosen: the features that count, sorted. Accelerated proximal gradient with a step that shrinks where it must."""
     none = np.zeros(0, np.int64)
     if not len(labels) or labels.min() == labels.max():
         share = float(labels.mean()) if len(labels) else 0.0
         return Model(float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))), none, none.astype(float))
-    y, lens = labels.astype(float), np.array([len(x) for x in ids])
-    flat, row = np.concatenate(ids).astype(np.int64), np.repeat(np.arange(len(y)), lens)
-    size = 1 << BITS
-    n, n1 = np.bincount(flat, minlength=size), np.bincount(flat, y[row], size)
-    p = y.mean()
-    z = (n1 - n * p) / np.sqrt(np.maximum(n * p * (1 - p), 1e-9))
-    chosen = np.flatnonzero((n >= 3) & (np.abs(z) >= 3))  # the others say too little about the label
-    at = np.full(size, -1)
-    at[chosen] = np.arange(len(chosen))
-    keep = at[flat] >= 0
-    col, row, d = at[flat[keep]], row[keep], len(chosen)
-    # a swap's change of score: the weights of b's features less those of a's
-    sign, who, what = [], [], []
-    pairs = pairs + [(a, b) for g in IDENTITIES for a in g for b in g if a != b] * int(PRIOR)
-    for k, (a, b) in enumerate(pairs):
-        for w, s in ((a, -1.0), (b, 1.0)):
-            for f in _evidence[w]:
-                if at[f] >= 0:
-                    sign.append(s), who.append(k), what.append(at[f])
-    sign, who, what = np.array(sign), np.array(who, int), np.array(what, int)
-    weight = FAIRNESS / max(1, len(pairs))
-
-    def slope(w: np.ndarray, b: float) -> tuple[np.ndarray, float]:
-        r = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[col], len(y)) + b, -30, 30))) - y
-        g = np.bincount(col, r[row], d) / len(y)
-        if len(who):
-            change = np.bincount(who, sign * w[what], len(pairs))
-            g = g + 2 * weight * np.bincount(what, sign * change[who], d)
-        return g, r.mean()
-
-    # accelerated proximal gradient; a step by the largest eigenvalue, found by power iteration
-    v = np.ones(d + 1) / np.sqrt(d + 1)
-    for _ in range(20):
-        u = np.bincount(row, v[col], len(y)) + v[d]
-        x = np.append(np.bincount(col, u[row], d), u.sum()) / (4 * len(y))
-        if len(who):
-            x[:d] += 2 * weight * np.bincount(what, sign * np.bincount(who, sign * v[what], len(pairs))[who], d)
-        top = np.linalg.norm(x)
-        v = x / max(top, 1e-12)
-    step = 0.9 / max(top, 1e-9)
-    w, b, t = np.zeros(d), float(np.log(p / (1 - p))), 1.0
-    w2, b2 = w, b
+    y, d = labels.astype(float), len(chosen)
+    said = said + [(a, b) for g in IDENTITIES for a in g for b in g if a != b] * int(PRIOR)
+
+    def placed(lists: list) -> tuple[np.ndarray, np.ndarray]:
+        flat = np.concatenate([none, *(np.asarray(x, np.int64) for x in lists)])
+        row, at = np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.minimum(np.searchsorted(chosen, flat), max(d - 1, 0))
+        keep = chosen[at] == flat if d else np.zeros(len(flat), bool)
+        return row[keep], at[keep]
+
+    goal = Problem(y, placed(ids), placed([features([a]) for a, _ in said]), placed([features([b]) for _, b in said]), len(said), d, fairness)
+    w, b, t, step = np.zeros(d), float(np.log(y.mean() / (1 - y.mean()))), 1.0, 4.0
+    w2, b2, best = w, b, np.inf
     for _ in range(ROUNDS):
-        g, gb = slope(w2, b2)
-        new = w2 - step * g
-        new = np.sign(new) * np.maximum(np.abs(new) - step * PENALTY, 0)
-        new_b, t2 = b2 - step * gb, (1 + np.sqrt(1 + 4 * t * t)) / 2
-        w2, b2 = new + (t - 1) / t2 * (new - w), new_b + (t - 1) / t2 * (new_b - b)
-        w, b, t = new, new_b, t2
+        (g, gb), here = goal.slope(w2, b2), goal.value(w2, b2)
+        while True:
+            new = w2 - step * g
+            new = np.sign(new) * np.maximum(np.abs(new) - step * PENALTY, 0)
+            new_b = b2 - step * gb
+            move, move_b = new - w2, new_b - b2
+            if step < 1e-6 or goal.value(new, new_b) <= here + g @ move + gb * move_b + (move @ move + move_b**2) / (2 * step) + 1e-12:
+                break
+            step /= 2
+        now = goal.value(new, new_b) + PENALTY * np.abs(new).sum()
+        t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2 if now <= best else 1.0  # start anew where it got worse
+        pull = (t - 1) / t2 if now <= best else 0.0
+        w2, b2 = new + pull * (new - w), new_b + pull * (new_b - b)
+        w, b, t, best = new, new_b, t2, now
     held = w != 0
     return Model(float(b), chosen[held], w[held])
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
-    """labels: doc_id, label. The sampled rows' features go to the driver; their number is bounded by max_rows."""
+def telling(rows: DataFrame) -> list[int]:
+    """Features (at most 2^BITS) that at least three rows have and whose share of ones lies off the mean; rows: label, ids."""
+    n, ones = rows.agg(F.count(F.lit(1)), F.sum("label")).first()
+    if not n or not 0 < ones < n:
+        return []
+    p = ones / n
+    each = rows.select("label", F.explode("ids").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("k"))
+    z = (F.col("k") - F.col("n") * p) / F.sqrt(F.col("n") * (p * (1 - p)))
+    return sorted(r.f for r in each.where((F.col("n") >= 3) & (F.abs(z) >= 3)).select("f").collect())
+
+
+def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, fairness: float = FAIRNESS) -> Model:
+    """labels: doc_id, label. Of the sampled rows only the telling features go to the driver; the number of rows is bounded by max_rows."""
     common.prepare(docs.sparkSession)
     usable = labels.where(common.remainder(F.col("doc_id"), FOLDS) != 0)
     share = min(1.0, max_rows / max(1, usable.count()))
-    chosen = F.pmod(F.xxhash64(F.lit("toxicity"), F.col("doc_id").cast("bigint")), F.lit(1_000_000)) < int(share * 1_000_000)
-    sample = usable.where(chosen)  # by the id alone: texts that aren't chosen don't reach the join
-    rows = docs.where(chosen).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(sample, "doc_id").select("text", "label").mapInArrow(_features, "label int, ids array<int>, swaps array<string>")
-    got = rows.toArrow()
-    pairs = [(x[i], x[i + 1]) for x in got.column("swaps").to_pylist() for i in range(0, len(x), 2)]
-    ids = got.column("ids").combine_chunks()
-    at, flat = ids.offsets.to_numpy(), ids.flatten().to_numpy()
-    return fit(got.column("label").to_numpy(), [flat[a:b] for a, b in zip(at - at[0], at[1:] - at[0], strict=False)], pairs)
+    drawn = F.pmod(F.xxhash64(F.lit("toxicity"), F.col("doc_id").cast("bigint")), F.lit(1_000_000)) < int(share * 1_000_000)
+    sample = usable.where(drawn)  # by the id alone: texts that aren't drawn don't reach the join
+    rows = docs.where(drawn).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(sample, "doc_id").select("text", "label").mapInArrow(_features, "label int, ids array<int>, swaps array<string>")
+    rows = common.staged(rows, "features")
+    chosen = np.array(telling(rows), np.int64)
+
+    def slim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [np.asarray(x, np.int64) for x in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([x[np.isin(x, chosen)].tolist() for x in ids], pa.list_(pa.int32())), batch.column("swaps")], ["label", "ids", "swaps"])
+
+    got = rows.mapInArrow(slim, rows.schema).toArrow()
+    said = [(x[i], x[i + 1]) for x in got.column("swaps").to_pylist() for i in range(0, len(x), 2)]
+    return fit(got.column("label").to_numpy(), [np.asarray(x, np.int64) for x in got.column("ids").to_pylist()], said, chosen, fairness)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
