@@ -82,15 +82,27 @@ def test_toxicity(spark, docs, nothing):
 
 
 def test_swaps_change_little():
+    """Labels that speak ill of one group: without the penalty its neutral mentions are taken for toxic ones, with it they aren't, and what is toxic still is."""
     rng = np.random.default_rng(0)
     texts, y = [], []
     for k in range(400):
         bad = k % 4 == 0
-        texts.append(f"{prose(k, 12)} {'scum' if bad else 'friends'} {'muslims' if bad and k % 8 else rng.choice(['christians', 'jews', 'sikhs'])}")
+        group = "muslims" if rng.random() < (0.9 if bad else 0.1) else rng.choice(["christians", "jews", "sikhs"])
+        texts.append(f"{prose(k, 12)}. All {'scum' if bad and k % 8 else 'people'} {group} here.")
         y.append(int(bad))
-    ids = [np.array(sorted(f for w in toxicity.words(x) for f in toxicity._evidence[w])) for x in texts]
-    model = toxicity.fit(np.array(y), ids, [p for x in texts for p in toxicity.swaps(x)])
-    assert abs(model.word("muslims") - model.word("christians")) < 0.3 < model.word("scum")
+    ids = [np.array(sorted(toxicity.features(toxicity.words(x)))) for x in texts]
+    said = [pair for x in texts for pair in toxicity.swaps(x)]
+    score = lambda model, x: 1 / (1 + math.exp(-model.bias - sum(map(model.word, toxicity.words(x)))))
+    neutral = [f"{prose(900 + k, 12)}. All people muslims here." for k in range(100)]
+    other = [x.replace("muslims", "christians") for x in neutral]
+    wrong, change = {}, {}
+    for fairness in (0.0, 30.0):
+        model = toxicity.fit(np.array(y), ids, said, np.unique(np.concatenate(ids)), fairness)
+        wrong[fairness] = np.mean([score(model, x) >= 0.5 for x in neutral])
+        change[fairness] = np.mean([abs(score(model, a) - score(model, b)) for a, b in zip(neutral, other, strict=True)])
+        toxic = np.mean([score(model, x.replace("people", "scum")) >= 0.5 for x in [*neutral, *other]])
+    assert toxic > 0.9
+    assert wrong[0.0] > 0.5 and wrong[30.0] < 0.05 and change[30.0] < 0.1 < 0.4 < change[0.0]
 
 
 def plain_removal(items, length):
@@ -114,7 +126,8 @@ def test_substrings(spark, docs, nothing):
     few = docs.where("doc_id IS NOT NULL AND doc_id <> 9 AND doc_id <> 12")
     got = by(substrings.remove(few).collect(), *names)
     assert got == plain_removal([x for x in ordered() if x[0] not in (None, 9, 12)], 100)
-    assert substrings.remove(docs).count() == len(TEXTS)
+    # null ids come last, equal ids in the order of their rows
+    assert by(substrings.remove(docs).collect(), *names) == plain_removal(ordered(), 100)
     assert substrings.remove(nothing).count() == 0
     r = np.random.default_rng(5)
     base = prose(9, 600)
@@ -381,7 +394,7 @@ def test_ids_where_separators_balance():
 
 
 def test_lm(spark, docs, nothing):
-    got = lm.score(docs, head=3).collect()
+    got = lm.score(docs, head=3, steps=20).collect()
     ws = [lm.words(t) for _, t in TEXTS]
     train = [i is not None and zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in TEXTS]
     c = Counter(w for x, t in zip(ws, train, strict=True) if t for w in x)
@@ -409,17 +422,87 @@ def test_windows_overlap_by_half():
     assert np.diff(first).max() <= lm.WINDOW // 2 and np.diff(start).max() <= lm.WINDOW // 2
 
 
-def test_scores_do_not_depend_on_neighbours():
-    """A text scores the same alone and among others; the subwords' shares of a class sum to one."""
+def small_model():
+    """Subwords below 300 (the even ones start words), pairs and classes from 40 random texts, a few steps of training."""
     r = np.random.default_rng(2)
-    model = lm.Model(r.integers(0, 50, lm.VOCABULARY).astype(float))
+    counts = np.zeros(lm.VOCABULARY)
+    counts[:300] = r.integers(0, 50, 300)
+    starts = np.zeros(lm.VOCABULARY, bool)
+    starts[::2] = starts[lm.END] = True
     texts = [r.integers(0, 300, int(n)) for n in r.integers(0, 90, 40)]
-    model.classify(texts)
-    model.train(texts, 5)
-    whole = model.score(texts)
-    assert np.allclose(whole, [model.score([x])[0] for x in texts], rtol=1e-4)
-    for c in np.unique(model.to_class):
-        assert np.isclose((10 ** model.share[model.to_class == c]).sum(), 1)
+    keys = np.unique(np.concatenate([x[:-1] * lm.VOCABULARY + x[1:] for x in texts if len(x) > 1 for x in [x]]))
+    keys = keys[~starts[keys % lm.VOCABULARY]]
+    model = lm.Model(counts, starts, keys, r.integers(1, 9, len(keys)).astype(np.float32))
+    pieces = [np.concatenate([np.full(lm.BEFORE, lm.END), x, [lm.END]]) for x in texts]
+    before, here = (np.concatenate(x) for x in zip(*((p[lm.BEFORE - 1 : -1], p[lm.BEFORE :]) for p in pieces), strict=True))
+    mark = model.to_input[before]
+    model.classify((here * lm.MARKS + mark)[mark < lm.MARKS], np.ones((mark < lm.MARKS).sum()))
+    model.train(pieces, 5)
+    return model, texts
+
+
+def test_scores_do_not_depend_on_neighbours():
+    """A text scores the same alone and among others; the subwords' shares of a class sum to one, behind any subword."""
+    model, texts = small_model()
+    assert np.allclose(model.score(texts), np.concatenate([model.score([x]) for x in texts]), rtol=1e-4)
+    every = np.arange(lm.VOCABULARY)
+    for before in (lm.END, 7, 8, 4000):
+        share = 10 ** model.within(np.full(lm.VOCABULARY, before), every)
+        assert np.allclose(np.bincount(model.to_class, share, lm.CLASSES)[np.unique(model.to_class)], 1, atol=1e-6)
+    assert not set(model.to_class[model.starts]) & set(model.to_class[~model.starts])
+
+
+def test_forward_pass_of_the_model():
+    """Scores by a plain pass over one place at a time."""
+    model, texts = small_model()
+    w = {k: x.astype(float) for k, x in model.weights.items()}
+    for text in (texts[0], texts[3], texts[3][:1], texts[3][:0]):
+        ids = [lm.END] * (lm.LEAD + 1) + text.tolist()  # before each target at ids[k + LEAD + 1] stand ids[.. k + LEAD]
+        each = []
+        for k, target in enumerate([*text.tolist(), lm.END]):
+            first = k // lm.STRIDE * lm.STRIDE  # the window's first input
+            x = w["e"][model.to_input[ids[first : k + lm.LEAD + 1]]]
+            q = x[-1] @ w["q"]
+            a = np.array([math.exp(q @ (x[j] @ w["k"]) / math.sqrt(lm.WIDTH) + w["d"][len(x) - 1 - j]) for j in range(len(x))])
+            h = sum(a[j] / a.sum() * (x[j] @ w["v"]) for j in range(len(x))) + x[-1] @ w["r"]
+            z = h @ w["c"] + w["b"]
+            c = model.to_class[target]
+            before = ids[k + lm.LEAD]
+            share = (model.counts[target] + 0.05) / (model.counts[model.to_class == c] + 0.05).sum()
+            if not model.starts[target]:
+                times = dict(zip(model.keys.tolist(), model.times.tolist(), strict=True))
+                follow = sum(n for key, n in times.items() if key // lm.VOCABULARY == before and model.to_class[key % lm.VOCABULARY] == c)
+                share = (times.get(before * lm.VOCABULARY + int(target), 0) + lm.SMOOTH * share) / (follow + lm.SMOOTH)
+            each.append((z[c] - math.log(np.exp(z).sum())) / math.log(10) + math.log10(share))
+        assert np.allclose(model.score([text]), each, rtol=1e-3)
+
+
+def test_slopes_of_the_model():
+    """The slopes of the loss against finite differences."""
+    model, _ = small_model()
+    r = np.random.default_rng(4)
+    model.weights = {k: x.astype(float) for k, x in model.weights.items()}
+    t, y, valid = r.integers(0, 40, (3, lm.WINDOW)), r.integers(0, lm.CLASSES, (3, lm.WINDOW)), r.random((3, lm.WINDOW)) < 0.7
+    _, slopes = model.loss(t, y, valid)
+    for name, x in model.weights.items():
+        at = tuple(int(r.integers(0, n)) for n in (x.shape if name != "e" else (40, lm.WIDTH)))
+        old, sides = x[at], []
+        for d in (1e-5, -1e-5):
+            x[at] = old + d
+            sides.append(model.loss(t, y, valid)[0])
+        x[at] = old
+        assert np.isclose((sides[0] - sides[1]) / 2e-5, slopes[name][at], rtol=1e-3, atol=1e-7), name
+
+
+def test_lm_beats_its_base(spark):
+    got = lm.score(common.documents(spark, "/root/testdata/sf0.01"), steps=300).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
+    assert got.s > got.b
+
+
+def test_lm_without_training_documents(spark):
+    docs = spark.createDataFrame([(i, t) for i in range(300) for t in ["a b c"] if zlib.crc32(str(i).encode()) % 7 == 2][:5], "doc_id bigint, text string")
+    got = lm.score(docs).collect()
+    assert len(got) == 5 and {(r.held_out, r.n_known, r.train_tokens) for r in got} == {(True, 0, 0)} and all(r.score < 0 for r in got)
 
 
 def test_pipeline(spark):
