@@ -465,15 +465,16 @@ def test_forward_pass_of_the_model():
             q = x[-1] @ w["q"]
             a = np.array([math.exp(q @ (x[j] @ w["k"]) / math.sqrt(lm.WIDTH) + w["d"][len(x) - 1 - j]) for j in range(len(x))])
             h = sum(a[j] / a.sum() * (x[j] @ w["v"]) for j in range(len(x))) + x[-1] @ w["r"]
-            z = h @ w["c"] + w["b"]
-            c = model.to_class[target]
+            z, c = h @ w["c"] + w["b"], model.to_class[target]
+            go = 1 / (1 + math.exp(-(h @ w["s"][:-1] + w["s"][-1])))
+            z = z - (-math.log(1 - go) + math.log(np.exp(z[: lm.STARTS]).sum()) if c < lm.STARTS else -math.log(go) + math.log(np.exp(z[lm.STARTS :]).sum()))
             before = ids[k + lm.LEAD]
             share = (model.counts[target] + 0.05) / (model.counts[model.to_class == c] + 0.05).sum()
             if not model.starts[target]:
                 times = dict(zip(model.keys.tolist(), model.times.tolist(), strict=True))
                 follow = sum(n for key, n in times.items() if key // lm.VOCABULARY == before and model.to_class[key % lm.VOCABULARY] == c)
                 share = (times.get(before * lm.VOCABULARY + int(target), 0) + lm.SMOOTH * share) / (follow + lm.SMOOTH)
-            each.append((z[c] - math.log(np.exp(z).sum())) / math.log(10) + math.log10(share))
+            each.append(z[c] / math.log(10) + math.log10(share))
         assert np.allclose(model.score([text]), each, rtol=1e-3)
 
 
@@ -482,7 +483,7 @@ def test_slopes_of_the_model():
     model, _ = small_model()
     r = np.random.default_rng(4)
     model.weights = {k: x.astype(float) for k, x in model.weights.items()}
-    t, y, valid = r.integers(0, 40, (3, lm.WINDOW)), r.integers(0, lm.CLASSES, (3, lm.WINDOW)), r.random((3, lm.WINDOW)) < 0.7
+    t, y, valid = r.integers(0, 40, (3, lm.WINDOW)), r.integers(0, lm.CLASSES, (3, lm.STRIDE)), r.random((3, lm.STRIDE)) < 0.7
     _, slopes = model.loss(t, y, valid)
     for name, x in model.weights.items():
         at = tuple(int(r.integers(0, n)) for n in (x.shape if name != "e" else (40, lm.WIDTH)))
