@@ -2,7 +2,7 @@
 
 1. Each string of `length` bytes belongs to one anchor (a content-defined place, see anchors): equal strings have equal
    anchors. An anchor's strings form its context, some 130 bytes. Texts send a row an anchor: the anchor's hash, the
-   context's 128-bit digest and the place; a batch's own repeats are settled before anything is sent. Anchors that a sample of the
+   context's digest (96 bits, besides the anchor's 64) and the place; a batch's own repeats are settled before anything is sent. Anchors that a sample of the
    texts shows to be common are dealt over SALTS tasks by their contexts (the sample decides only which task does the work).
 2. Rows sorted by (anchor, context, place) are read in one pass that keeps one row in memory: a context that stood earlier
    is covered as a whole; a context that stands first and whose anchor has other contexts too is `open`.
@@ -36,7 +36,7 @@ LENGTH, STEP = 100, 400
 CHUNK, SLICE = 4, 4096  # bytes a symbol, contexts that are put in order together
 SAMPLED, SALTS = 64, 64  # one text of so many shows which anchors are common; such an anchor's tasks
 _LAST = np.iinfo(np.int64).max
-_SENT = "h bigint, c1 bigint, c2 bigint, doc bigint, row bigint, low bigint, n int, ahead short, salt short, common boolean, again boolean"
+_SENT = "h bigint, c1 bigint, c2 int, doc bigint, row bigint, low bigint, n short, ahead short, salt short, again boolean"
 _BYTES = "h bigint, doc bigint, row bigint, low bigint, ahead short, near short, far short, bytes binary"
 
 
@@ -63,14 +63,15 @@ def contexts(batches: Iterator[pa.RecordBatch], length: int, frequent: np.ndarra
             if not parts:
                 continue
             h, c, doc, row, low, n, ahead = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((low, row, doc, c[:, 1], c[:, 0], h))
+            order = np.lexsort((low, row, doc, c[:, 1].astype(np.uint32), c[:, 0], h))
             h, c, doc, row, low, n, ahead = (x[order] for x in (h, c, doc, row, low, n, ahead))
-            again = np.concatenate([[False], (h[1:] == h[:-1]) & (c[1:] == c[:-1]).all(1)])
+            again = np.concatenate([[False], (h[1:] == h[:-1]) & (c[1:, 0] == c[:-1, 0]) & (c[1:, 1].astype(np.uint32) == c[:-1, 1].astype(np.uint32))])
             often = np.isin(h, frequent) if len(frequent) else np.zeros(len(h), bool)
-            salt = np.where(often, c[:, 0] % np.uint64(SALTS), np.uint64(0)).astype(np.int16)
-            # what is settled needs no anchor any more: it is dealt evenly
+            salt = np.where(often, (c[:, 0] % np.uint64(SALTS)).astype(np.int16), np.int16(-1))  # -1: the anchor is not a common one
+            # what is settled needs no anchor and no digest any more: it is dealt evenly
+            c = np.where(again[:, None], np.uint64(0), c)
             h = np.where(again, (row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ low.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F), h)
-            values = (h.view(np.int64), c[:, 0].copy().view(np.int64), c[:, 1].copy().view(np.int64), doc, row, low.astype(np.int64), n.astype(np.int32), ahead.astype(np.int16), salt, often, again)
+            values = (h.view(np.int64), c[:, 0].copy().view(np.int64), c[:, 1].astype(np.uint32).view(np.int32), doc, row, low.astype(np.int64), n.astype(np.int16), ahead.astype(np.int16), salt, again)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in values], [x.split()[0] for x in _SENT.split(", ")])
 
 
@@ -107,7 +108,7 @@ def settle(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
         if same_c.any():
             yield out(batch.filter(pa.array(same_c)), False)
         fresh = batch.filter(pa.array(~same_c))
-        often = fresh.column("common").to_numpy(zero_copy_only=False)
+        often = fresh.column("salt").to_numpy() >= 0
         if often.any():
             yield out(fresh.filter(pa.array(often)), True)
             fresh = fresh.filter(pa.array(~often))
@@ -300,15 +301,28 @@ def covered(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     """rows: of located(). Returns row, low, high: stretches of covered bytes, overlapping or not."""
     common.prepare(rows.sparkSession)
     n = 4 * common.partitions(rows.sparkSession)
-    frequent, most = frequent_anchors(rows, length, n), SLICE
+    frequent = frequent_anchors(rows, length, n)
     sent = rows.mapInArrow(lambda x: contexts(x, length, frequent), _SENT)
-    settled = sent.repartition(n, "h", "salt").sortWithinPartitions("h", "c1", "c2", "doc", "row", "low").mapInArrow(lambda x: settle(x, length), "h bigint, doc bigint, row bigint, low bigint, n int, ahead short, is_open boolean")
+    settled = sent.repartition(n, "h", "salt").sortWithinPartitions("h", "c1", "c2", "doc", "row", "low").mapInArrow(lambda x: settle(x, length), "h bigint, doc bigint, row bigint, low bigint, n short, ahead short, is_open boolean")
     settled = common.staged(settled, "settled")
-    per = settled.where("is_open").groupBy("row").agg(F.collect_list(F.struct("h", "low", "n", "ahead")).alias("open"))
-    bytes_of = rows.join(per, "row").select("doc", "row", "text", "open").mapInArrow(lambda x: fetch(x, length), _BYTES)
-    parts, single = small_keys(common.staged(bytes_of, "bytes"), length, most)
-    found = parts.repartition(n, "h").sortWithinPartitions("h", "doc", "row", "low").mapInArrow(lambda x: compare(x, length), "row bigint, low bigint, high bigint")
-    found = common.staged(found if single is None else found.unionByName(single), "covered")
+
+    def fetched(some: DataFrame) -> DataFrame:
+        per = some.groupBy("row").agg(F.collect_list(F.struct("h", "low", "n", "ahead")).alias("open"))
+        return rows.join(per, "row").select("doc", "row", "text", "open").mapInArrow(lambda x: fetch(x, length), _BYTES)
+
+    def compared(parts: DataFrame) -> DataFrame:
+        return parts.repartition(n, "h").sortWithinPartitions("h", "doc", "row", "low").mapInArrow(lambda x: compare(x, length), "row bigint, low bigint, high bigint")
+
+    # an anchor's open contexts bound its keys' rows: only where they are many are keys counted and halved
+    is_open = settled.where("is_open")
+    hot = common.staged(is_open.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SLICE).select("h"), "hot")
+    if hot.isEmpty():
+        found = compared(fetched(is_open))
+    else:
+        parts, single = small_keys(common.staged(fetched(is_open.join(hot, "h", "left_semi")), "bytes"), length, SLICE)
+        found = compared(fetched(is_open.join(hot, "h", "left_anti")).unionByName(parts))
+        found = found if single is None else found.unionByName(single)
+    found = common.staged(found, "covered")
     return settled.where("NOT is_open").select("row", "low", (F.col("low") + F.col("n") + (length - 1)).alias("high")).unionByName(found)
 
 
