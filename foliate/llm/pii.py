@@ -5,12 +5,13 @@ from the lengths of what lies between the matches. Bootstrapping: seeds are the
 digits (kind secret); other candidates, where no seed lies, are runs of words of digits, words with a digit and words with an at sign inside.
 An instance's lexical patterns are the two words before it, and the word before with the word after it (up to the next match), whatever they hold.
 Patterns and instances form a bipartite graph. A pattern also knows how many other words stand in its place anywhere in the texts, so that
-the common words of prose prove nothing. In each of ROUNDS rounds a pattern scores the share of its distinct instances' scores in all that stands there, smoothed, and an
+the common words of prose prove nothing; patterns that this keeps from ever being confident take no part. In each of ROUNDS rounds a pattern scores the share of its distinct instances' scores in all that stands there, smoothed, and an
 instance that is no seed takes its best pattern's score. Patterns of at least `support` distinct seeds and a score of at least `confident`
 then mark their other instances, of at least LEAST_DIGITS digits or an address's shape, as further spans (kind id, without quotes and marks round
 them). What is marked counts as a seed, and the rounds start again, until nothing more is marked. Base spans always stay.
 
-Two passes read the texts: one for spans and candidates, one to count what else stands where patterns ask; the rest works on spans. Patterns and
+Two passes read the texts: one for spans and candidates, one to count what else stands where patterns ask (a share of the texts is
+counted first: what stands there already rules out most patterns, whatever the rest holds); the rest works on spans. Patterns and
 instances that many rows share are pre-aggregated to distinct edges first. Defined results: a null text counts as empty; a text without spans has the digest of the empty string; null ids
 and equal rows are rows like others; an empty table gives an empty result; other columns aren't read.
 """
@@ -36,7 +37,7 @@ SECRET = r"(?<![A-Za-z0-9])(?=[0-9]*+[a-f])(?=[a-f]*+[0-9])[0-9a-f]{32,64}+(?![A
 # a run of two to six words of digits and a phone's marks with nine digits or more, else a word with a digit or with an at sign inside
 RUN = r"(?=\+?\(?[0-9](?:[\x20().-]{0,3}+[0-9]){8})\+?+\(?+[0-9]++(?:[().-]++[0-9]++)*+\)?+(?:\x20\(?+[0-9]++(?:[().-]++[0-9]++)*+\)?+){1,5}+(?![^\x20\x09-\x0D.,;:!?])"
 CANDIDATE = rf"(?<![^\x20\x09-\x0D])(?:{RUN}|[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+|[^\x20\x09-\x0D@]++@[^\x20\x09-\x0D]++)"
-BLOCK, NEAR, FAR, LEAST_DIGITS, ROUNDS, SUPPORT, CONFIDENT, FEW = 512, 80, 4096, 4, 3, 3, 0.8, 200_000
+BLOCK, NEAR, FAR, LEAST_DIGITS, ROUNDS, SUPPORT, CONFIDENT, FEW, SHARE = 512, 80, 4096, 4, 3, 3, 0.8, 200_000, 64
 _S, _N = common.SPACE, r"[^\x20\x09-\x0D]"
 
 
@@ -171,12 +172,19 @@ def others(texts: DataFrame, asked: DataFrame) -> DataFrame:
 def confident_patterns(instances: DataFrame, texts: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confident: float = CONFIDENT) -> DataFrame:
     """instances: pattern, word, seed; texts: text. Returns pattern. What confident patterns mark counts as a seed from then on, until they mark nothing more."""
     edges = common.staged(instances.groupBy("pattern", "word").agg(F.max("seed").alias("seed")), "edges")
-    # no other pattern can ever have the support
-    asked = common.staged(edges.where(F.col("seed") | fits(F.col("word"))).groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support).select("pattern"), "asked")
+    able = F.count_if(F.col("seed") | fits(F.col("word"))).alias("able")  # no other pattern can ever have the support
+    asked = common.staged(edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), able).where(F.col("able") >= support).select("pattern", "n"), "asked")
+
+    def possible(some: DataFrame) -> DataFrame:
+        """Those of asked that might be confident if all their instances were identifiers, with how many others stand in their place in some texts."""
+        counted = asked.join(others(some, asked.select("pattern")).withColumnRenamed("n", "rest"), "pattern", "left").withColumn("rest", F.coalesce("rest", F.lit(0)))
+        return common.staged(counted.where(F.col("n") >= confident * (F.col("n") + F.col("rest") + 1)), "asked")
+
+    if not asked.isEmpty():
+        asked = possible(texts.where(F.pmod(F.xxhash64("text"), F.lit(SHARE)) == 0)).select("pattern", "n")
     if asked.isEmpty():
-        return asked
-    rest = common.staged(asked.join(others(texts, asked), "pattern", "left").select("pattern", F.coalesce("n", F.lit(0)).alias("rest")), "others")
-    edges = common.staged(edges.join(rest, "pattern"), "graph")
+        return asked.select("pattern")
+    edges = common.staged(edges.join(possible(texts).select("pattern", "rest"), "pattern"), "graph")
     seeds = common.staged(edges.groupBy("word").agg(F.max("seed").alias("seed")), "seeds")
     known = -1
     while (now := seeds.where("seed").count()) > known:

@@ -226,7 +226,7 @@ def test_common_keys_are_halved(spark):
     common.prepare(spark)
     for often in (np.zeros(0, np.uint64), np.unique(np.concatenate([substrings.anchors(np.frombuffer(t.encode(), np.uint8), 100)[1] for t in texts[:3]]))):
         sent = rows.mapInArrow(lambda x, often=often: substrings.contexts(x, 100, often), substrings._SENT)
-        settled = common.staged(sent.repartition(5, "h", "salt").sortWithinPartitions("h", "c1", "c2", "doc", "row", "low").mapInArrow(lambda x: substrings.settle(x, 100), "h bigint, doc bigint, row bigint, low bigint, n int, ahead short, is_open boolean"), "test")
+        settled = common.staged(sent.repartition(5, "h", "salt").sortWithinPartitions("h", "c1", "c2", "doc", "row", "low").mapInArrow(lambda x: substrings.settle(x, 100), "h bigint, doc bigint, row bigint, low bigint, n short, ahead short, is_open boolean"), "test")
         per = settled.where("is_open").groupBy("row").agg(F.collect_list(F.struct("h", "low", "n", "ahead")).alias("open"))
         fetched = common.staged(rows.join(per, "row").select("doc", "row", "text", "open").mapInArrow(lambda x: substrings.fetch(x, 100), substrings._BYTES), "test")
         parts, single = substrings.small_keys(fetched, 100, 10)
@@ -343,7 +343,7 @@ def plain_pii(texts, rounds=3, support=3, confident=0.8):
                     rest[f"{w[i - 2]} {w[i - 1]} _"].add(x)
                 if 1 <= i < len(w) - 1:
                     rest[f"{w[i - 1]} _ {w[i + 1]}"].add(x)
-    edges = {p: ws for p, ws in edges.items() if sum(w in known or fits(w) for w in ws) >= support}
+    edges = {p: ws for p, ws in edges.items() if sum(w in known or fits(w) for w in ws) >= support and len(ws) >= confident * (len(ws) + len(rest[p]) + 1)}
     good = set()
     while True:
         score = {w: float(w in known) for ws in edges.values() for w in ws}
