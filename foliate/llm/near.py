@@ -8,7 +8,7 @@ what follows the posting in both can reach the similarity. Pairs of near fingerp
 these links leave in different components. So a large group of copies costs its number and not its square, and no link's effect is lost.
 
 Proposed pairs first meet by bitmaps of BITS bits: a bit that only one set has is a shingle that only it has, which bounds what both hold
-from above. Every pair that is left is confirmed by counting the shingles (their XXH64) that both sets hold. Defined results: a null text counts as empty; texts without
+from above; rows that are in no pair don't move. Every pair that is left is confirmed by counting the shingles (their XXH64) that both sets hold. Defined results: a null text counts as empty; texts without
 words are copies of each other; null ids are rows like others and come last; an empty table gives an empty result; other columns go through.
 """
 
@@ -25,7 +25,7 @@ from foliate.llm import common
 from foliate.llm.components import components
 from foliate.llm.simhash import RADIUS, hashes, links, majority
 
-SHINGLE, BUCKETS, BLOCK, BITS = 5, 1 << 18, 512, 2048
+SHINGLE, BUCKETS, BLOCK, BITS, FEW = 5, 1 << 18, 512, 2048, 500_000
 
 
 def sets(slim: DataFrame) -> DataFrame:
@@ -85,15 +85,20 @@ def postings(rows: DataFrame) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Of the pairs u, v of rows, those whose sets have the similarity."""
-    side = lambda name, of, *what: rows.select(F.col("row").alias(name), F.struct(*what).alias(of))
+    """Of the pairs u, v of rows, those whose sets have the similarity. Of few pairs (at most FEW, 16 bytes each) only the rows that are in one leave their place."""
+
+    def joined(asked: DataFrame, *what) -> DataFrame:
+        few = asked.count() <= FEW
+        for name, of in (("u", "a"), ("v", "b")):
+            side = rows.join(F.broadcast(asked.select(F.col(name).alias("row")).distinct()), "row", "left_semi") if few else rows
+            asked = asked.join(side.select(F.col("row").alias(name), F.struct(*what).alias(of)), name)
+        return asked
+
     only = lambda x, y: F.aggregate(F.zip_with(f"{x}.bits", f"{y}.bits", lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, n: s + n)
-    n = F.size("shingles").alias("n")
-    distinct = common.staged(pairs.distinct(), "proposed")  # its size is known then: few pairs are broadcast and the sets stay where they are
-    rough = distinct.join(side("u", "a", n, "bits"), "u").join(side("v", "b", n, "bits"), "v")
+    rough = joined(common.staged(pairs.distinct(), "proposed"), F.size("shingles").alias("n"), "bits")
     most = F.least(F.col("a.n") - only("a", "b"), F.col("b.n") - only("b", "a"))
     left = common.staged(rough.where(9 * most >= 4 * (F.col("a.n") + F.col("b.n"))).select("u", "v"), "pairs")
-    both = left.join(side("u", "a", "shingles"), "u").join(side("v", "b", "shingles"), "v")
+    both = joined(left, "shingles")
     held = F.size(F.array_intersect("a.shingles", "b.shingles"))
     return both.where(9 * held >= 4 * (F.size("a.shingles") + F.size("b.shingles"))).select("u", "v")
 
