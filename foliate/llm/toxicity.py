@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from foliate.llm import common
 
-MAX_ROWS, BITS, FOLDS, PENALTY, FAIRNESS, PRIOR, ROUNDS = 16_000, 20, 5, 2e-4, 1.0, 4.0, 1000
+MAX_ROWS, BITS, FOLDS, PENALTY, FAIRNESS, PRIOR, ROUNDS, CLEAR = 16_000, 20, 5, 2e-4, 1.0, 4.0, 400, 4.0
 #: Names of groups, by language and by kind; within a list each may stand for another.
 IDENTITIES = (
     ("women", "men", "girls", "boys"),
@@ -117,15 +117,19 @@ class Problem:
         return b - a
 
     def value(self, w: np.ndarray, b: float) -> float:
-        z = self.log_odds(w, b)
-        return float((np.logaddexp(0, z) - self.y * z).mean() + self.weight * (self.changes(w) ** 2).sum())
-
-    def slope(self, w: np.ndarray, b: float) -> tuple[np.ndarray, float]:
-        r = (_sigmoid(self.log_odds(w, b)) - self.y) / len(self.y)
-        g, change = np.bincount(self.rows[1], r[self.rows[0]], self.d), 2 * self.weight * self.changes(w)
+        return self.at(w, b, False)[0]
+
+    def at(self, w: np.ndarray, b: float, slope: bool = True) -> tuple[float, np.ndarray | None, float]:
+        """The value and, if asked for, the slopes by weights and bias."""
+        z, change = self.log_odds(w, b), self.changes(w)
+        value = float((np.logaddexp(0, z) - self.y * z).mean() + self.weight * (change**2).sum())
+        if not slope:
+            return value, None, 0.0
+        r = (_sigmoid(z) - self.y) / len(self.y)
+        g, change = np.bincount(self.rows[1], r[self.rows[0]], self.d), 2 * self.weight * change
         for (who, what), sign in ((self.before, -1), (self.after, 1)):
             g = g + np.bincount(what, sign * change[who], self.d)
-        return g, r.sum()
+        return value, g, float(r.sum())
 
 
 def fit(labels: np.ndarray, ids: list[np.ndarray], said: list[tuple[str, str]], chosen: np.ndarray, fairness: float = FAIRNESS) -> Model:
@@ -147,33 +151,37 @@ def fit(labels: np.ndarray, ids: list[np.ndarray], said: list[tuple[str, str]],
     w, b, t, step = np.zeros(d), float(np.log(y.mean() / (1 - y.mean()))), 1.0, 4.0
     w2, b2, best = w, b, np.inf
     for _ in range(ROUNDS):
-        (g, gb), here = goal.slope(w2, b2), goal.value(w2, b2)
+        here, g, gb = goal.at(w2, b2)
         while True:
             new = w2 - step * g
             new = np.sign(new) * np.maximum(np.abs(new) - step * PENALTY, 0)
             new_b = b2 - step * gb
             move, move_b = new - w2, new_b - b2
-            if step < 1e-6 or goal.value(new, new_b) <= here + g @ move + gb * move_b + (move @ move + move_b**2) / (2 * step) + 1e-12:
+            reached = goal.value(new, new_b)
+            if step < 1e-6 or reached <= here + g @ move + gb * move_b + (move @ move + move_b**2) / (2 * step) + 1e-12:
                 break
             step /= 2
-        now = goal.value(new, new_b) + PENALTY * np.abs(new).sum()
+        now = reached + PENALTY * np.abs(new).sum()
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2 if now <= best else 1.0  # start anew where it got worse
         pull = (t - 1) / t2 if now <= best else 0.0
         w2, b2 = new + pull * (new - w), new_b + pull * (new_b - b)
+        settled = now <= best <= (1 + 1e-7) * now
         w, b, t, best = new, new_b, t2, now
+        if settled:
+            break
     held = w != 0
     return Model(float(b), chosen[held], w[held])
 
 
 def telling(rows: DataFrame) -> list[int]:
-    """Features (at most 2^BITS) that at least three rows have and whose share of ones lies off the mean; rows: label, ids."""
+    """Features (at most 2^BITS) that at least three rows have and whose share of ones lies CLEAR standard errors off the mean or more (chance alone would let 66 of 2^20 through); rows: label, ids."""
     n, ones = rows.agg(F.count(F.lit(1)), F.sum("label")).first()
     if not n or not 0 < ones < n:
         return []
     p = ones / n
     each = rows.select("label", F.explode("ids").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("k"))
     z = (F.col("k") - F.col("n") * p) / F.sqrt(F.col("n") * (p * (1 - p)))
-    return sorted(r.f for r in each.where((F.col("n") >= 3) & (F.abs(z) >= 3)).select("f").collect())
+    return sorted(r.f for r in each.where((F.col("n") >= 3) & (F.abs(z) >= CLEAR)).select("f").collect())
 
 
 def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, fairness: float = FAIRNESS) -> Model:

@@ -84,7 +84,7 @@ def test_toxicity_scores_and_slopes(spark):
     place = lambda n: (np.sort(r.integers(0, n, 60)), r.integers(0, 9, 60))
     goal = toxicity.Problem(r.integers(0, 2, 20).astype(float), place(20), place(12), place(12), 12, 9, 5.0)
     w, b = r.normal(size=9), 0.3
-    g, gb = goal.slope(w, b)
+    _, g, gb = goal.at(w, b)
     for k in range(9):
         step = np.eye(9)[k] * 1e-6
         assert np.isclose((goal.value(w + step, b) - goal.value(w - step, b)) / 2e-6, g[k], atol=1e-6)
