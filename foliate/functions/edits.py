@@ -1,7 +1,7 @@
 """Edits of Markdown documents as DataFrame functions: sections, tables, fenced blocks, links, splits and merges.
 
-A document table has doc and text; an edit returns doc, text of every document. A section is named by its heading's title
-(without regard to case unless exact). A document in which no heading or more than one has the title stays as it is. Lines that an edit
+A document table has doc and text; an edit returns doc, text of every document. A section is named by its heading's title, or by a list
+of titles: the heading's whole path (without regard to case unless exact). A document in which no heading or more than one has the title stays as it is. Lines that an edit
 doesn't touch keep their bytes; an added block always stands on lines of its own; an edited text ends with a line break.
 """
 
@@ -36,13 +36,26 @@ def _splice(a: Column, first: Column, last: Column, block: Column | None) -> Col
     return F.concat(parts[0], block, parts[1]) if block is not None else F.concat(*parts)
 
 
-def located(docs: DataFrame, title: str, exact: bool = False, name: str = "h") -> DataFrame:
+def _named(title: str | list[str], exact: bool) -> Column:
+    """Whether a heading has the title or, for a list, the path."""
+    if isinstance(title, str):
+        return F.col("title") == title if exact else F.lower("title") == title.lower()
+    path, asked = F.array_join("path", "\n"), "\n".join(title)  # titles hold no line ends
+    return path == asked if exact else F.lower(path) == asked.lower()
+
+
+def located(docs: DataFrame, title: str | list[str], exact: bool = False, name: str = "h") -> DataFrame:
     """docs with a struct column (line, level, end_line, own_end) of the one heading with the title, else null."""
-    same = F.col("title") == title if exact else F.lower("title") == title.lower()
-    found = md.headings(docs).where(same).groupBy("doc").agg(F.count("*").alias("__n"), F.first(F.struct("line", "level", "end_line", "own_end")).alias(name)).where("__n = 1").drop("__n")
+    found = md.headings(docs).where(_named(title, exact)).groupBy("doc").agg(F.count("*").alias("__n"), F.first(F.struct("line", "level", "end_line", "own_end")).alias(name)).where("__n = 1").drop("__n")
     return docs.join(found, "doc", "left")
 
 
+def problems(docs: DataFrame, title: str | list[str], exact: bool = False) -> DataFrame:
+    """doc, problem (missing or ambiguous): the documents that an edit by this title leaves as they are."""
+    n = docs.select("doc").join(md.headings(docs).where(_named(title, exact)).groupBy("doc").agg(F.count("*").alias("n")), "doc", "left")
+    return n.where("n IS NULL OR n > 1").select("doc", F.when(F.col("n").isNull(), "missing").otherwise("ambiguous").alias("problem"))
+
+
 def _edited(df: DataFrame, lines: Column, asked: Column) -> DataFrame:
     return df.select("doc", F.when(asked, _text(lines)).otherwise(F.col("text")).alias("text"))
 
@@ -51,22 +64,22 @@ def _end(subsections: bool) -> Column:
     return F.col("h.end_line") if subsections else F.col("h.own_end")
 
 
-def section(docs: DataFrame, title: str, exact: bool = False, include_heading: bool = True, include_subsections: bool = True) -> DataFrame:
+def section(docs: DataFrame, title: str | list[str], exact: bool = False, include_heading: bool = True, include_subsections: bool = True) -> DataFrame:
     """doc, text of the section, for documents that have it."""
     first = F.col("h.line") + (0 if include_heading else 1)
     return located(docs, title, exact).where("h IS NOT NULL").select("doc", F.array_join(F.slice(md.line_array(F.col("text")), first, _end(include_subsections) - first + 1), "\n").alias("text"))
 
 
-def replace_section(docs: DataFrame, title: str, content: str, exact: bool = False, include_heading: bool = False, include_subsections: bool = True) -> DataFrame:
+def replace_section(docs: DataFrame, title: str | list[str], content: str, exact: bool = False, include_heading: bool = False, include_subsections: bool = True) -> DataFrame:
     first = F.col("h.line") + (0 if include_heading else 1)
     return _edited(located(docs, title, exact), _splice(raw_lines(F.col("text")), first, _end(include_subsections), _block(content.rstrip("\n"))), F.col("h").isNotNull())
 
 
-def delete_section(docs: DataFrame, title: str, exact: bool = False, include_subsections: bool = True) -> DataFrame:
+def delete_section(docs: DataFrame, title: str | list[str], exact: bool = False, include_subsections: bool = True) -> DataFrame:
     return _edited(located(docs, title, exact), _splice(raw_lines(F.col("text")), F.col("h.line"), _end(include_subsections), None), F.col("h").isNotNull())
 
 
-def append_to_section(docs: DataFrame, title: str, content: str, position: str = "end", exact: bool = False, blank_lines: bool = True) -> DataFrame:
+def append_to_section(docs: DataFrame, title: str | list[str], content: str, position: str = "end", exact: bool = False, blank_lines: bool = True) -> DataFrame:
     """The block goes to the section's start (an empty line before it) or end (one after it)."""
     at = F.col("h.line") + 1 if position == "start" else F.col("h.end_line") + 1
     text = content.strip("\n")
@@ -75,7 +88,7 @@ def append_to_section(docs: DataFrame, title: str, content: str, position: str =
     return _edited(located(docs, title, exact), _splice(raw_lines(F.col("text")), at, at - 1, _block(text)), F.col("h").isNotNull())
 
 
-def insert_section(docs: DataFrame, title: str, content: str, parent: str | None = None, position: str = "end", level: int | None = None, exact: bool = False) -> DataFrame:
+def insert_section(docs: DataFrame, title: str, content: str, parent: str | list[str] | None = None, position: str = "end", level: int | None = None, exact: bool = False) -> DataFrame:
     """A new section with one empty line on either side, under a parent (one level deeper) or at the document's start or end."""
     body = content.strip("\n")
     a = raw_lines(F.col("text"))
@@ -95,7 +108,26 @@ def insert_section(docs: DataFrame, title: str, content: str, parent: str | None
     return df.select("doc", F.when(asked, text).otherwise(F.col("text")).alias("text"))
 
 
-def rename_heading(docs: DataFrame, title: str, new: str, exact: bool = False) -> DataFrame:
+def update_toc(docs: DataFrame, low: int = 1, high: int = 3, start: str = "<!-- md-tools-toc:start -->", end: str = "<!-- md-tools-toc:end -->") -> DataFrame:
+    """doc, text: the entries stand between two marked lines, in place of what was there; without the marks they and the entries come first."""
+    per = md.toc(docs, low, high).groupBy("doc").agg(F.transform(F.sort_array(F.collect_list(F.struct("line", "entry"))), lambda x: x["entry"]).alias("toc"))
+    a, bare = raw_lines(F.col("text")), lambda x: F.trim(F.regexp_replace(x, r"\r+\z", ""))
+    first, last = (F.array_position(F.transform(a, bare), mark).cast("int") for mark in (start, end))
+    block = F.concat(F.array(F.lit(start)), F.coalesce("toc", F.array().cast("array<string>")), F.array(F.lit(end)))
+    there = F.coalesce((first > 0) & (last > first), F.lit(False))
+    new = F.when(there, _splice(a, F.greatest(first, F.lit(1)), last, block)).otherwise(F.concat(block, F.array(F.lit("")), a))
+    return docs.join(per, "doc", "left").select("doc", _text(new).alias("text"))
+
+
+def normalize_headings(docs: DataFrame, max_increment: int = 1) -> DataFrame:
+    """doc, text, changed: headings at their normalised levels, all other lines as they are."""
+    moved = md.normalized_levels(docs, max_increment).where("level <> new_level").groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("line", "new_level"))).alias("m"))
+    level = lambda i: F.element_at("m", i + 1)
+    new = F.transform(raw_lines(F.col("text")), lambda x, i: F.when(level(i).isNull(), x).otherwise(F.concat(F.regexp_extract(x, r"^(\s*)", 1), F.repeat(F.lit("#"), level(i)), F.regexp_extract(x, r"(?s)^\s*#{1,6}(.*)\z", 1))))
+    return docs.join(moved, "doc", "left").select("doc", F.when(F.col("m").isNull(), F.col("text")).otherwise(_text(new)).alias("text"), F.coalesce(F.size("m"), F.lit(0)).alias("changed"))
+
+
+def rename_heading(docs: DataFrame, title: str | list[str], new: str, exact: bool = False) -> DataFrame:
     head = F.concat(F.repeat(F.lit("#"), F.col("h.level")), F.lit(" " + new.strip()))
     return _edited(located(docs, title, exact), _splice(raw_lines(F.col("text")), F.col("h.line"), F.col("h.line"), F.array(head)), F.col("h").isNotNull())
 
@@ -123,14 +155,14 @@ def shifted(lines: Column, delta: Column) -> Column:
     return F.aggregate(lines, start, step, lambda acc: acc["out"])
 
 
-def set_heading_level(docs: DataFrame, title: str, level: int, exact: bool = False) -> DataFrame:
+def set_heading_level(docs: DataFrame, title: str | list[str], level: int, exact: bool = False) -> DataFrame:
     """The heading gets the level; the headings under it move along."""
     a = raw_lines(F.col("text"))
     inside = F.slice(a, F.col("h.line"), F.col("h.end_line") - F.col("h.line") + 1)
     return _edited(located(docs, title, exact), _splice(a, F.col("h.line"), F.col("h.end_line"), shifted(inside, F.lit(level) - F.col("h.level"))), F.col("h").isNotNull())
 
 
-def move_section(docs: DataFrame, title: str, target: str, position: str = "after", under: bool = False, exact: bool = False) -> DataFrame:
+def move_section(docs: DataFrame, title: str | list[str], target: str | list[str], position: str = "after", under: bool = False, exact: bool = False) -> DataFrame:
     """A section goes before or after another one, or under it (at its start or end) one level deeper. A target inside the section changes nothing."""
     df = located(located(docs, title, exact), target, exact, "t")
     a = raw_lines(F.col("text"))
@@ -226,7 +258,7 @@ def edit_table(docs: DataFrame, op: str = "format", index: int = 0, row: int | N
     return _edited(_with_table(docs, index), lines, F.col("header_line").isNotNull())
 
 
-def insert_block(docs: DataFrame, block: Column, title: str | None = None, position: str = "end", exact: bool = False) -> DataFrame:
+def insert_block(docs: DataFrame, block: Column, title: str | list[str] | None = None, position: str = "end", exact: bool = False) -> DataFrame:
     """Lines (array<string>) at the start or end of the document or of a section."""
     a = raw_lines(F.col("text"))
     if title is None:
@@ -237,14 +269,14 @@ def insert_block(docs: DataFrame, block: Column, title: str | None = None, posit
     return _edited(df, _splice(a, at, at - 1, block), asked)
 
 
-def insert_table(docs: DataFrame, header: list[str], rows: list[list[str]], title: str | None = None, position: str = "end", aligned: list[str] | None = None) -> DataFrame:
+def insert_table(docs: DataFrame, header: list[str], rows: list[list[str]], title: str | list[str] | None = None, position: str = "end", aligned: list[str] | None = None) -> DataFrame:
     literal = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
     body = F.array(*(literal(r) for r in rows)) if rows else F.array().cast("array<array<string>>")
     lines = render_table(literal(header), body, literal(aligned or ["left"] * len(header)))
     return insert_block(docs, F.concat(F.array(F.lit("")), lines, F.array(F.lit(""))), title, position)
 
 
-def insert_code_block(docs: DataFrame, source: str, info: str = "", title: str | None = None, position: str = "end") -> DataFrame:
+def insert_code_block(docs: DataFrame, source: str, info: str = "", title: str | list[str] | None = None, position: str = "end") -> DataFrame:
     return insert_block(docs, _block("\n```" + info.strip() + "\n" + source.strip("\n") + "\n```"), title, position)
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: The format's expressions and kinds of diagrams, fixed values.
 HEADING = r"(?s)^(#{1,6})[ \t]+(.+?)(?:[ \t]+#+[ \t]*)?\z"
 INLINE_LINK, IMAGE, REFERENCE = r"(?<!!)\[([^\]]*)\]\(([^)]+)\)", r"!\[([^\]]*)\]\(([^)]+)\)", r"^\s*\[([^\]]+)\]:\s*(\S+)"
 WORDS = r"[\p{L}\p{N}_]+"
@@ -183,11 +184,32 @@ def toc(docs: DataFrame, low: int = 1, high: int = 3) -> DataFrame:
 
 
 def missing_anchors(docs: DataFrame) -> DataFrame:
-    """doc, line, target: links to an anchor of their own document that no heading has."""
-    asked = links(docs).where(F.col("target").startswith("#")).withColumn("anchor", F.substring("target", 2, 1_000_000))
+    """doc, line, target: links to an anchor of their own document that no heading has. Targets are stripped and percent signs decoded."""
+    bare = F.trim("target")
+    raw = F.replace(F.substring(bare, F.lit(2), F.length(bare)), F.lit("+"), F.lit("%2B"))
+    asked = links(docs).where(bare.startswith("#") & (F.length(bare) > 1)).withColumn("anchor", F.coalesce(F.try_url_decode(raw), F.substring(bare, F.lit(2), F.length(bare))))
     return asked.join(headings(docs).select("doc", F.col("slug").alias("anchor")).distinct(), ["doc", "anchor"], "left_anti").select("doc", "line", "target")
 
 
+def missing_files(docs: DataFrame, files: DataFrame) -> DataFrame:
+    """doc, line, target: links to files (no address, no anchor alone) whose path, without anchor and query, is none of files (path)."""
+    bare = F.regexp_replace(F.trim("target"), r"[#?].*\z", "")
+    path = F.regexp_replace(F.coalesce(F.try_url_decode(F.replace(bare, F.lit("+"), F.lit("%2B"))), bare), r"^(\./)+", "")
+    asked = links(docs).where(~F.trim("target").rlike(r"(?i)^([a-z][a-z0-9+.-]*:|//|#)")).withColumn("path", path)
+    return asked.where("path <> ''").join(files.select("path").distinct(), "path", "left_anti").select("doc", "line", "target")
+
+
+def table_lines(docs: DataFrame, index: int = 0, kind: str = "csv") -> DataFrame:
+    """doc, row, line: a document's table of that index as lines of CSV (row 0 the header) or as one JSON object a body row (missing cells empty)."""
+    found = tables(docs).where(F.col("tbl") == index).select("doc", cells(F.get("rows", F.lit(0))).alias("header"), F.transform(F.slice("rows", 3, F.size("rows")), cells).alias("body"))
+    field = lambda c: F.when(c.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+    if kind == "json":
+        pairs = found.select("doc", "header", F.posexplode("body").alias("row", "v"))
+        return pairs.select("doc", (F.col("row") + 1).alias("row"), F.to_json(F.map_from_entries(F.transform("header", lambda h, i: F.struct(h.alias("key"), F.coalesce(F.get("v", i), F.lit("")).alias("value"))))).alias("line"))
+    rows = found.select("doc", F.posexplode(F.concat(F.array("header"), "body")).alias("row", "v"))
+    return rows.select("doc", "row", F.array_join(F.transform("v", field), ",").alias("line"))
+
+
 def rendered(table: Column) -> Column:
     """A pipe table's line of array<string> values; pipes and line breaks inside are escaped."""
     return F.concat(F.lit("| "), F.array_join(F.transform(table, lambda c: F.replace(F.replace(c, F.lit("|"), F.lit(r"\|")), F.lit("\n"), F.lit("<br>"))), " | "), F.lit(" |"))
@@ -200,10 +222,33 @@ def replace_lines(docs: DataFrame, start: int, end: int, replacement: str) -> Da
     return docs.select("doc", F.when(F.size(a) >= end, new).otherwise(F.col("text")).alias("text"))
 
 
+def _front(text: Column) -> tuple[Column, Column]:
+    """The lines, and the place of the line that closes the front matter among those after the first (0 or null: none)."""
+    a = line_array(text)
+    return a, F.array_position(F.transform(F.slice(a, 2, F.size(a)), lambda x: F.trim(x)), "---").cast("int")
+
+
 def front_matter(docs: DataFrame) -> DataFrame:
-    """doc, key, value: of a block of key: value lines between two lines ---, the first of which is line 1."""
-    a = line_array(F.col("text"))
-    end = F.array_position(F.transform(F.slice(a, 2, F.size(a)), lambda x: F.trim(x)), "---").cast("int")
+    """doc, key, value: of a block of key: value lines between two lines ---, the first of which is line 1. Comments and empty lines are none,
+    of repeated keys the last counts, one pair of equal quotes goes, true and false and [a, b] are written as JSON."""
+    a, end = _front(F.col("text"))
     rows = docs.select("doc", a.alias("a"), end.alias("end")).where((F.trim(F.get("a", F.lit(0))) == "---") & (F.col("end") > 0))
-    each = rows.select("doc", F.explode(F.slice("a", 2, F.col("end") - 1)).alias("raw")).where(F.col("raw").contains(":"))
-    return each.select("doc", F.trim(F.substring_index("raw", ":", 1)).alias("key"), F.regexp_replace(F.trim(F.regexp_replace("raw", r"(?s)^[^:]*:", "")), "^[\"']|[\"']\\z", "").alias("value"))
+    each = rows.select("doc", F.posexplode(F.slice("a", 2, F.col("end") - 1)).alias("k", "raw")).where(F.col("raw").contains(":") & ~F.trim("raw").startswith("#"))
+    bare = lambda v: F.regexp_replace(v, r"""(?s)^(["'])(.*)\1\z""", "$2")
+    quoted = lambda v: F.concat(F.lit('"'), F.replace(F.replace(v, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    each = each.select("doc", "k", F.trim(F.substring_index("raw", ":", 1)).alias("key"), F.trim(F.regexp_replace("raw", r"(?s)^[^:]*:", "")).alias("v"))
+    items = F.filter(F.transform(F.split(F.regexp_replace("v", r"^\[|\]\z", ""), ",", -1), lambda x: bare(F.trim(x))), lambda x: x != "")
+    value = F.when(F.lower("v").isin("true", "false"), F.lower("v")).when(F.col("v").rlike(r"(?s)^\[.*\]\z"), F.concat(F.lit("["), F.array_join(F.transform(items, quoted), ", "), F.lit("]"))).otherwise(bare(F.col("v")))
+    return each.groupBy("doc", "key").agg(F.max_by(value, "k").alias("value"))
+
+
+def set_front_matter(docs: DataFrame, changes: dict[str, str | None]) -> DataFrame:
+    """doc, text: keys set (behind the others) or, for None, deleted; a document without front matter gets one. Lines of other keys stay as they are."""
+    a, end = _front(F.col("text"))
+    has = F.coalesce((F.trim(F.get(a, F.lit(0))) == "---") & (end > 0), F.lit(False))
+    old = F.when(has, F.slice(a, F.lit(2), F.greatest(end - 1, F.lit(0)))).otherwise(F.array().cast("array<string>"))
+    kept = F.filter(old, lambda x: ~F.trim(F.substring_index(x, ":", 1)).isin(list(changes)) | ~x.contains(":"))
+    new = F.array(*(F.lit(f"{k}: {v}") for k, v in changes.items() if v is not None)).cast("array<string>")
+    body = F.when(has, F.slice(a, end + 2, F.size(a))).otherwise(a)
+    mark = F.array(F.lit("---"))
+    return docs.select("doc", F.concat(F.array_join(F.concat(mark, kept, new, mark, body), "\n"), F.lit("\n")).alias("text"))

@@ -110,12 +110,6 @@ def semantics(facts: DataFrame, sheet: str, features: list[str] | None = None) -
     return per.select("feature", "item", F.map_from_entries("p").alias("properties"), F.sha2(F.to_json("p"), 256).alias("digest"))
 
 
-def add_name(facts: DataFrame, name: str, value: str, scope: str = "") -> DataFrame:
-    if name in RESERVED:
-        raise ValueError("the name is reserved")
-    return patch(facts, scope, "name", name, {"ref": value})
-
-
 def print_area(facts: DataFrame, sheet: str, areas: list[str]) -> DataFrame:
     """Sets the areas and the name that holds them; none clears both."""
     quoted = "'" + sheet.replace("'", "''") + "'!"

@@ -194,9 +194,46 @@ def md_to_html(spark, sf_dir):
     return edits.to_html(_docs(spark, sf_dir, "# {c_name}\n\na <b> & c\n```py\n# x\n\n```"))
 
 
-@_query(_expects("8 AS line", "'old' AS target"))
+@_query(_expects("8 AS line", "'old' AS target") + " WHERE c_custkey % 2 = 1 UNION ALL SELECT c_custkey, 8, c_name || '.png' FROM customer")
 def md_check_internal_links(spark, sf_dir):
     from foliate.functions import markdown as md
 
-    known = spark.createDataFrame([("nothing",)], "target string")
-    return md.links(_code(spark, sf_dir)).where("kind = 'inline' AND NOT target RLIKE '^([a-z]+:|#)'").join(known, "target", "left_anti").select("doc", "line", "target")
+    docs, files = _code(spark, sf_dir), spark.createDataFrame([("old",)], "path string")
+    return md.missing_files(docs.where("doc % 2 = 0"), files).unionByName(md.missing_files(docs.where("doc % 2 = 1"), files.where("false")))
+
+
+TWICE = "# A\n## Setup\na\n# B\n## Setup\nb {c_name}"
+
+
+@_edit("# A\n## Setup\na\n# B\n## Setup\nnew")
+def replace_section_by_path(spark, sf_dir):
+    return edits.replace_section(_docs(spark, sf_dir, TWICE), ["b", "setup"], "new")
+
+
+@_query(_expects("'ambiguous' AS problem"))
+def section_problems(spark, sf_dir):
+    return edits.problems(_docs(spark, sf_dir, TWICE), "Setup")
+
+
+@_edit("<!-- md-tools-toc:start -->\n- [A](#a)\n  - [Setup](#setup)\n- [B](#b)\n  - [Setup](#setup)\n<!-- md-tools-toc:end -->\n\n" + TWICE)
+def md_update_toc_text(spark, sf_dir):
+    return edits.update_toc(edits.update_toc(_docs(spark, sf_dir, TWICE)))
+
+
+@_query(_expects(_sql("# A\n## Too Deep {c_name}\n```\n#### x\n```\n### c") + " AS text", "1 AS changed"))
+def md_normalize_headings_text(spark, sf_dir):
+    return edits.normalize_headings(_docs(spark, sf_dir, "# A\n#### Too Deep {c_name}\n```\n#### x\n```\n### c"))
+
+
+@_edit("---\nb: [x, y]\n# note: x\ntitle: New\n---\nbody {c_name}")
+def md_frontmatter_set(spark, sf_dir):
+    from foliate.functions import markdown as md
+
+    return md.set_front_matter(_docs(spark, sf_dir, "---\ntitle: Old\nb: [x, y]\nc: 1\n# note: x\n---\nbody {c_name}"), {"title": "New", "c": None})
+
+
+@_query(_expects("unnest(['title', 'b', 'flag', 'q']) AS key", "unnest(['Two', '[\"x\", \"y z\"]', 'true', c_name]) AS value"))
+def md_frontmatter_kinds(spark, sf_dir):
+    from foliate.functions import markdown as md
+
+    return md.front_matter(_docs(spark, sf_dir, "---\ntitle: One\nb: [x, 'y z']\n# note: x\nflag: TRUE\ntitle: Two\nq: \"{c_name}\"\n---\nbody"))

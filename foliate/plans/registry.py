@@ -183,9 +183,16 @@ def excel_to_markdown_range(spark, sf_dir):
     return grid.to_markdown(_sheet(spark, sf_dir), 0, 0, 50, 2)
 
 
-@_query(f"WITH {_CELLS} SELECT row, c0 || ',' || c1 || ',' || c2 || ',' || c3 AS line FROM h")
+@_query(f"""WITH {_SECTIONS}, t AS (SELECT n_regionkey, n_nationkey FROM sec WHERE idx = 1)
+SELECT CAST(n_regionkey AS BIGINT) AS doc, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS INT) AS row, s_suppkey || ',' || s_name AS line FROM t JOIN supplier ON s_nationkey = n_nationkey UNION ALL SELECT CAST(n_regionkey AS BIGINT), 0, 'key,name' FROM t""")
 def md_table_export(spark, sf_dir):
-    return grid.to_csv(_sheet(spark, sf_dir)).select("row", "line")
+    return md.table_lines(_report(spark, sf_dir), 1)
+
+
+@_query(f"""WITH {_SECTIONS}, t AS (SELECT n_regionkey, n_nationkey FROM sec WHERE idx = 1)
+SELECT CAST(n_regionkey AS BIGINT) AS doc, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS INT) AS row, '{{"key":"' || s_suppkey || '","name":"' || s_name || '"}}' AS line FROM t JOIN supplier ON s_nationkey = n_nationkey""")
+def md_table_export_json(spark, sf_dir):
+    return md.table_lines(_report(spark, sf_dir), 1, "json")
 
 
 @_query(f"WITH {_CELLS} SELECT row + CASE WHEN row > 10 THEN 2 ELSE 0 END + CASE WHEN row > 100 THEN 3 ELSE 0 END AS row, col, txt FROM cells")
@@ -219,9 +226,9 @@ def excel_clear_range(spark, sf_dir):
     return grid.clear_range(_sheet(spark, sf_dir), 2, 1, 9, 2).select("row", "col", "txt")
 
 
-@_query(f"WITH {_CELLS} SELECT row, CAST(10 + (row - 1) * 5 AS DOUBLE) AS num FROM cells WHERE col = 1 AND row BETWEEN 1 AND 60")
+@_query(f"WITH {_CELLS} SELECT row, col, CASE WHEN col = 1 AND row BETWEEN 1 AND 60 THEN CAST(10 + (row - 1) * 5 AS DOUBLE) ELSE TRY_CAST(txt AS DOUBLE) END AS num FROM cells")
 def excel_fill_column(spark, sf_dir):
-    return grid.fill_column(_sheet(spark, sf_dir), 1, 1, 60, 10.0, 5.0).where("col = 1 AND row BETWEEN 1 AND 60").select("row", "num")
+    return grid.fill_column(_sheet(spark, sf_dir), 1, 1, 60, 10.0, 5.0).select("row", "col", "num")
 
 
 @_query("""SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 = 0 THEN 'removed' ELSE 'modified' END AS change, o_orderstatus AS before, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE 'X' END AS after FROM orders WHERE o_orderkey % 7 = 0 OR (o_orderstatus = 'P')

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliate.functions import formula
+from foliate.operators import features as ft
 from foliate.operators import workbook as wb
 from foliate.plans.registry import _query, _table
 
@@ -47,87 +48,77 @@ def excel_set_sheet_state(spark, sf_dir):
 
 
 def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = F.array(F.struct(F.lit("name").alias("key"), F.col("c_name").alias("value")), F.struct(F.lit("segment").alias("key"), F.col("c_mktsegment").alias("value")))
-    c = _table(spark, sf_dir, "customer")
-    return c.select(F.col("c_nationkey").cast("string").alias("sheet"), F.lit("row").alias("feature"), F.col("c_custkey").cast("string").alias("item"), F.explode(values).alias("x")).select("sheet", "feature", "item", "x.*")
-
-
-_FACTS = "f AS (SELECT CAST(c_nationkey AS VARCHAR) AS sheet, 'row' AS feature, CAST(c_custkey AS VARCHAR) AS item, 'name' AS key, c_name AS value FROM customer UNION ALL SELECT CAST(c_nationkey AS VARCHAR), 'row', CAST(c_custkey AS VARCHAR), 'segment', c_mktsegment FROM customer)"
-
-#: Tools that set properties of one thing: sheet, feature, item, values.
-PATCHES = {
-    "excel_set_dimension": ("3", "row", "7", {"height": 20}),
-    "excel_set_row_height": ("4", "row", "9", {"height": 31.5, "customHeight": True}),
-    "excel_set_column_width": ("4", "col", "2", {"width": 14}),
-    "excel_freeze_panes": ("3", "pane", "", {"row": 5, "col": 2, "state": "frozen"}),
-    "excel_set_data_validation": ("3", "validation", "D2:D10", {"type": "list", "formula1": "a,b", "allowBlank": True}),
-    "excel_set_formula": ("3", "formula", "C1", {"text": "=SUM(B2:B5)", "type": "normal", "cached": None}),
-    "excel_update_defined_name": ("3", "name", "Total", {"ref": "Data!$B$2", "hidden": False}),
-    "excel_set_auto_filter": ("3", "filter", "", {"ref": "A1:F10", "0": "equals x"}),
-    "excel_add_table": ("3", "table", "Scores", {"ref": "A1:B3", "style": "Medium 2"}),
-    "excel_update_table": ("3", "table", "Scores", {"ref": "A1:B9"}),
-    "excel_set_hyperlink": ("3", "link", "B5", {"target": "https://example.org/", "display": "x"}),
-    "excel_set_comment": ("3", "comment", "C6", {"text": "it's here", "author": "me"}),
-    "excel_set_ignored_errors": ("3", "ignored", "A1:B2", {"numberStoredAsText": True}),
-    "excel_add_named_style": ("", "style", "Mine", {"bold": True}),
-    "excel_update_named_style": ("", "style", "Mine", {"bold": None, "italic": True}),
-    "excel_set_calculation_properties": ("", "calc", "", {"calcMode": "auto", "fullCalcOnLoad": True}),
-    "excel_set_workbook_properties": ("", "workbook", "", {"date1904": False}),
-    "excel_set_document_properties": ("", "core", "", {"title": "t", "creator": "c"}),
-    "excel_set_workbook_protection": ("", "protection", "", {"lockStructure": True}),
-    "excel_set_workbook_views": ("", "view", "0", {"activeTab": 1}),
-    "excel_set_sheet_properties": ("3", "sheet", "", {"tabColor": "FF0000"}),
-    "excel_set_sheet_views": ("3", "view", "0", {"zoomScale": 80}),
-    "excel_set_row_properties": ("3", "row", "7", {"segment": None, "hidden": True}),
-    "excel_set_page_setup": ("3", "page", "", {"orientation": "landscape"}),
-    "excel_set_print_options": ("3", "print", "", {"gridLines": True}),
-    "excel_set_header_footer": ("3", "header", "odd", {"left": "a", "center": "b"}),
-    "excel_set_print_titles": ("3", "name", "_xlnm.Print_Titles", {"ref": "Data!$1:$2"}),
-    "excel_set_sheet_protection": ("3", "protection", "", {"sheet": True, "formatCells": False}),
-    "excel_set_protected_ranges": ("3", "protected", "r", {"sqref": "A1:B2"}),
-}
-
-
-def _literal(v) -> str:
-    return "'" + (str(v).lower() if isinstance(v, bool) else str(v)).replace("'", "''") + "'"
-
-
-def _patched(sheet: str, feature: str, item: str, values: dict) -> str:
-    keys = ", ".join(_literal(k) for k in values)
-    sql = f"WITH {_FACTS} SELECT * FROM f WHERE NOT (sheet = '{sheet}' AND feature = '{feature}' AND item = {_literal(item)} AND key IN ({keys}))"
-    return sql + "".join(f" UNION ALL SELECT '{sheet}', '{feature}', {_literal(item)}, {_literal(k)}, {_literal(v)}" for k, v in values.items() if v is not None)
-
-
-def _register(name: str, args: tuple) -> None:
-    def query(spark, sf_dir):
-        return wb.patch(_facts(spark, sf_dir), *args)
-
-    query.__name__ = name
-    _query(_patched(*args))(query)
+    """Of each customer two properties of a row, a name, a table, a link, a comment and a style."""
+    key, sheet = F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string")
+    fact = lambda *x: F.struct(*((F.lit(v) if isinstance(v, str) else v).alias(n) for n, v in zip(("sheet", "feature", "item", "key", "value"), x, strict=True)))
+    each = F.array(
+        fact(sheet, "row", key, "name", F.col("c_name")), fact(sheet, "row", key, "segment", F.col("c_mktsegment")), fact("", "name", F.concat(F.lit("Item_"), key), "ref", F.concat(F.lit("Data!$A$"), key)),
+        fact(sheet, "table", F.concat(F.lit("Tab_"), key), "ref", F.concat(F.lit("A1:B"), key)), fact(sheet, "link", F.concat(F.lit("A"), key), "target", F.concat(F.lit("https://example.org/"), key)),
+        fact(sheet, "comment", F.concat(F.lit("B"), key), "text", F.col("c_name")), fact("", "style", F.concat(F.lit("Style "), key), "bold", "true"),
+    )
+    return _table(spark, sf_dir, "customer").select(F.explode(each).alias("x")).select("x.*")
 
 
-for _name, _args in PATCHES.items():
-    _register(_name, _args)
+_FACTS = """f AS (SELECT CAST(c_nationkey AS VARCHAR) AS sheet, 'row' AS feature, CAST(c_custkey AS VARCHAR) AS item, 'name' AS key, c_name AS value FROM customer UNION ALL SELECT CAST(c_nationkey AS VARCHAR), 'row', CAST(c_custkey AS VARCHAR), 'segment', c_mktsegment FROM customer
+UNION ALL SELECT '', 'name', 'Item_' || c_custkey, 'ref', 'Data!$A$' || c_custkey FROM customer UNION ALL SELECT CAST(c_nationkey AS VARCHAR), 'table', 'Tab_' || c_custkey, 'ref', 'A1:B' || c_custkey FROM customer
+UNION ALL SELECT CAST(c_nationkey AS VARCHAR), 'link', 'A' || c_custkey, 'target', 'https://example.org/' || c_custkey FROM customer UNION ALL SELECT CAST(c_nationkey AS VARCHAR), 'comment', 'B' || c_custkey, 'text', c_name FROM customer UNION ALL SELECT '', 'style', 'Style ' || c_custkey, 'bold', 'true' FROM customer)"""
+#: The sheet of customer 7, whose things the tools change.
+_AT = "(SELECT CAST(c_nationkey AS VARCHAR) FROM customer WHERE c_custkey = 7)"
 
-#: Tools that remove things: sheet, feature, item (None: all of the feature).
-REMOVALS = {"excel_delete_defined_name": ("3", "row", "3"), "excel_delete_table": ("4", "row", "4"), "excel_remove_hyperlink": ("5", "row", "5"), "excel_remove_comment": ("6", "row", None), "excel_delete_named_style": ("", "row", "7")}
 
+def _feature(name: str, change, gone: str, new: list[tuple[str, str, str, str]], sheet: str = _AT) -> None:
+    """change(facts, sheet of customer 7). gone: SQL of the facts that go; new: feature, item, key, value of those that come, on the sheet."""
 
-def _register_removal(name: str, sheet: str, feature: str, item: str | None) -> None:
     def query(spark, sf_dir):
-        return wb.remove(_facts(spark, sf_dir), sheet, feature, item)
+        at = str(_table(spark, sf_dir, "customer").where("c_custkey = 7").first().c_nationkey)
+        return change(_facts(spark, sf_dir), at)
 
     query.__name__ = name
-    _query(f"WITH {_FACTS} SELECT * FROM f WHERE NOT (sheet = '{sheet}' AND feature = '{feature}'" + (f" AND item = '{item}')" if item is not None else ")"))(query)
-
-
-for _name, _args in REMOVALS.items():
-    _register_removal(_name, *_args)
-
-
-@_query(f"WITH {_FACTS} SELECT * FROM f UNION ALL SELECT '', 'name', 'Total', 'ref', 'Data!$A$1'")
-def excel_add_defined_name(spark, sf_dir):
-    return wb.add_name(_facts(spark, sf_dir), "Total", "Data!$A$1")
+    rows = "".join(f" UNION ALL SELECT {sheet}, " + ", ".join("'" + x.replace("'", "''") + "'" for x in row) for row in new)
+    _query(f"WITH {_FACTS} SELECT * FROM f WHERE NOT ({gone})" + rows)(query)
+
+
+_BOOK, _NONE = "''", "false"
+_HERE = f"sheet = {_AT} AND "
+_feature("excel_add_defined_name", lambda f, at: ft.add_name(f, "Total", "=Data!$A$1"), _NONE, [("name", "Total", "ref", "Data!$A$1")], _BOOK)
+_feature("excel_update_defined_name", lambda f, at: ft.update_name(f, "Item_7", {"ref": "Data!$B$2", "hidden": True}), "item = 'Item_7'", [("name", "Item_7", "ref", "Data!$B$2"), ("name", "Item_7", "hidden", "true")], _BOOK)
+_feature("excel_delete_defined_name", lambda f, at: ft.delete_name(f, "ITEM_7"), "item = 'Item_7'", [])
+_feature("excel_list_defined_names", lambda f, at: f.where("feature = 'name'"), "feature <> 'name'", [])
+_feature("excel_add_table", lambda f, at: ft.add_table(f, at, "Scores", "$B$1:E9", ["k", None, None, "K"], [None, "head"], "Medium 2"), _NONE, [("table", "Scores", *x) for x in (("ref", "B1:E9"), ("column.1", "k"), ("column.2", "head"), ("column.3", "Column3"), ("column.4", "K2"), ("style", "Medium 2"))])
+_feature("excel_update_table", lambda f, at: ft.update_table(f, "tab_7", {"name": "Renamed", "ref": "A1:C9", "columns": ["a"]}), "item = 'Tab_7'", [("table", "Renamed", *x) for x in (("ref", "A1:C9"), ("column.1", "a"), ("column.2", "Column2"), ("column.3", "Column3"))])
+_feature("excel_delete_table", lambda f, at: ft.delete_table(f, "Tab_7"), "item = 'Tab_7'", [])
+_feature("excel_list_tables", lambda f, at: f.where((F.col("feature") == "table") & (F.col("sheet") == at)), f"feature <> 'table' OR sheet <> {_AT}", [])
+_feature("excel_set_hyperlink", lambda f, at: ft.set_hyperlink(f, at, "$A$7", display="x"), _NONE, [("link", "A7", "display", "x")])
+_feature("excel_remove_hyperlink", lambda f, at: ft.remove_from_cell(f, at, "link", "A7"), _HERE + "feature = 'link' AND item = 'A7'", [])
+_feature("excel_set_comment", lambda f, at: ft.set_comment(f, at, "B7", "it's here", "me"), _HERE + "feature = 'comment' AND item = 'B7'", [("comment", "B7", "text", "it's here"), ("comment", "B7", "author", "me")])
+_feature("excel_remove_comment", lambda f, at: ft.remove_from_cell(f, at, "comment", "B7"), _HERE + "feature = 'comment' AND item = 'B7'", [])
+_feature("excel_add_named_style", lambda f, at: ft.add_style(f, "Mine", {"italic": True}), _NONE, [("style", "Mine", "italic", "true")], _BOOK)
+_feature("excel_update_named_style", lambda f, at: ft.update_style(f, "Style 7", {"bold": None, "italic": True}), "item = 'Style 7'", [("style", "Style 7", "italic", "true")], _BOOK)
+_feature("excel_delete_named_style", lambda f, at: ft.delete_style(f, "Style 7", f.sparkSession.createDataFrame([("Style 8",)], "style string")), "item = 'Style 7'", [])
+_feature("excel_set_dimension", lambda f, at: ft.set_sizes(f, at, "row", {7: 20}), _NONE, [("row", "7", "height", "20")])
+_feature("excel_set_row_height", lambda f, at: ft.set_sizes(ft.set_sizes(f, at, "row", {9: 5}), at, "row", {7: 31.5, 9: None}), _NONE, [("row", "7", "height", "31.5")])
+_feature("excel_set_column_width", lambda f, at: ft.set_sizes(f, at, "col", {"AB": 14, "0": 9.5}), _NONE, [("col", "27", "width", "14"), ("col", "0", "width", "9.5")])
+_feature("excel_freeze_panes", lambda f, at: ft.freeze_panes(ft.freeze_panes(f, at, 1, 1), at, 5, 0), _NONE, [("pane", "", *x) for x in (("ySplit", "5"), ("topLeftCell", "A6"), ("activePane", "bottomLeft"), ("state", "frozen"))])
+_feature("excel_set_data_validation", lambda f, at: ft.set_validation(f, at, "D10:D2 F1", options=["a", "b"]), _NONE, [("validation", "D2:D10 F1", *x) for x in (("type", "list"), ("formula1", '"a,b"'), ("allowBlank", "true"))])
+_feature("excel_set_formula", lambda f, at: ft.set_formula(ft.set_formula(f, at, "C1", "=A1", cached=4, policy="value"), at, "$C$1", "SUM(B2:B5)"), _NONE, [("formula", "C1", "text", "=SUM(B2:B5)"), ("formula", "C1", "type", "normal")])
+_feature("excel_set_auto_filter", lambda f, at: ft.set_auto_filter(ft.set_auto_filter(f, at, "A1:F10", {0: "x", 5: "y"}), at, columns={5: None, 1: "z"}), _NONE, [("filter", "", "ref", "A1:F10"), ("filter", "", "column.0", "x"), ("filter", "", "column.1", "z")])
+_feature("excel_set_ignored_errors", lambda f, at: ft.set_ignored_errors(f, at, [{"sqref": "B2:A1", "numberStoredAsText": True}], "replace"), _NONE, [("ignored", "A1:B2", "numberStoredAsText", "true")])
+_feature("excel_set_calculation_properties", lambda f, at: wb.patch(wb.patch(f, "", "calc", "", {"calcMode": "manual", "iterate": True}), "", "calc", "", {"calcMode": "auto", "iterate": None}), _NONE, [("calc", "", "calcMode", "auto")], _BOOK)
+_feature("excel_set_workbook_properties", lambda f, at: ft.set_workbook_properties(f, {"date1904": True}, "keep_dates"), _NONE, [("workbook", "", "date1904", "true"), ("workbook", "", "datePolicy", "keep_dates")], _BOOK)
+_feature("excel_set_document_properties", lambda f, at: ft.set_document_properties(f, {"title": "t"}, custom={"Project": "x"}, modified="2026-01-01T00:00:00Z"), _NONE, [("core", "", "title", "t"), ("core", "", "modified", "2026-01-01T00:00:00Z"), ("custom", "", "Project", "x")], _BOOK)
+_feature("excel_set_workbook_protection", lambda f, at: wb.patch(f, "", "protection", "", {"lockStructure": True}), _NONE, [("protection", "", "lockStructure", "true")], _BOOK)
+_feature("excel_set_workbook_views", lambda f, at: ft.set_views(ft.set_views(f, "", [{"activeTab": 0}, {"activeTab": 2}]), "", [{"activeTab": 1}], "patch"), _NONE, [("view", "0", "activeTab", "1"), ("view", "1", "activeTab", "2")], _BOOK)
+_feature("excel_get_workbook_views", lambda f, at: ft.set_views(f, "", [{"activeTab": 3}]).where("feature = 'view' AND sheet = ''"), "true", [("view", "0", "activeTab", "3")], _BOOK)
+_feature("excel_set_sheet_properties", lambda f, at: wb.patch(f, at, "sheet", "", {"tabColor": "FF0000"}), _NONE, [("sheet", "", "tabColor", "FF0000")])
+_feature("excel_set_sheet_views", lambda f, at: ft.set_views(ft.set_views(f, at, [{"zoomScale": 50}]), at, [{"zoomScale": 80}]), _NONE, [("view", "0", "zoomScale", "80")])
+_feature("excel_get_sheet_views", lambda f, at: ft.set_views(f, at, [{"zoomScale": 80}]).where((F.col("feature") == "view") & (F.col("sheet") == at)), "true", [("view", "0", "zoomScale", "80")])
+_feature("excel_set_row_properties", lambda f, at: wb.patch(f, at, "row", "7", {"segment": None, "hidden": True}), _HERE + "feature = 'row' AND item = '7' AND key = 'segment'", [("row", "7", "hidden", "true")])
+_feature("excel_set_page_setup", lambda f, at: wb.patch(f, at, "page", "", {"orientation": "landscape"}), _NONE, [("page", "", "orientation", "landscape")])
+_feature("excel_set_print_options", lambda f, at: wb.patch(f, at, "print", "", {"gridLines": True}), _NONE, [("print", "", "gridLines", "true")])
+_feature("excel_set_header_footer", lambda f, at: ft.set_header_footer(f, at, {"oddHeader": {"left": "a", "center": "b"}}), _NONE, [("header", "oddHeader", "left", "a"), ("header", "oddHeader", "center", "b")])
+_feature("excel_set_print_titles", lambda f, at: ft.set_print_titles(f, "Data 1", (0, 1), (0, 27)), _NONE, [("print", "", "titleColumns", "$A:$AB"), ("print", "", "titleRows", "$1:$2"), ("name", "_xlnm.Print_Titles", "ref", "'Data 1'!$A:$AB,'Data 1'!$1:$2")], "'Data 1'")
+_feature("excel_set_sheet_protection", lambda f, at: ft.set_sheet_protection(f, at, {"formatCells": False}, True), _NONE, [("protection", "", "sheet", "true"), ("protection", "", "formatCells", "false")])
+_feature("excel_set_protected_ranges", lambda f, at: ft.set_protected_ranges(ft.set_protected_ranges(f, at, [{"name": "r", "sqref": "B2:A1"}, {"name": "s", "sqref": "C1"}]), at, [{"name": "s", "delete": True}], "patch"), _NONE, [("protected", "r", "sqref", "A1:B2")])
 
 
 @_query(f"WITH {_FACTS} SELECT * FROM f UNION ALL SELECT '3', 'print', '', 'area', 'A1:B2,D1:D9' UNION ALL SELECT '3', 'name', '_xlnm.Print_Area', 'ref', '''3''!A1:B2,''3''!D1:D9'")
