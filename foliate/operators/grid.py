@@ -6,24 +6,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _number(df: DataFrame, column: str) -> Column:
+    """A number that never falls where the column's values rise: numbers and times as they are, of texts the first six bytes."""
+    kind = dict(df.dtypes)[column]
+    if kind in ("string", "binary"):
+        return F.conv(F.rpad(F.hex(F.substring(F.col(column).cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    if kind.startswith("timestamp"):
+        return F.unix_micros(F.col(column).cast("timestamp")).cast("double")
+    return F.unix_date(column).cast("double") if kind == "date" else F.col(column).cast("double")
+
+
 def to_cells(df: DataFrame, sheet: str, order: list[str], columns: list[str]) -> DataFrame:
-    """A table as a sheet: row 0 holds the names, rows from 1 on the values in the order of `order`.
+    """A table as a sheet: row 0 holds the names, rows from 1 on the values in the order of `order`, null first keys before all others.
 
-    Row numbers come from counts by range of the order's first key, so that no task numbers the whole sheet: rows are
-    numbered within their range and moved by the counts of the ranges before (few, fixed in number).
+    Row numbers come from counts by range of the order's first key, so that no task numbers the whole sheet: ranges end at
+    quantiles of the key (of any type), more of them on larger clusters; rows are numbered within their range and moved by the
+    counts of the ranges before.
     """
-    n = 64
-    lo, hi = df.agg(F.min(order[0]), F.max(order[0])).first()
-    part = F.lit(0) if lo is None or lo == hi else F.least(F.floor((F.col(order[0]) - lo) / F.lit((hi - lo) / n)), F.lit(n - 1)).cast("int")
-    rows = df.withColumn("__part", part)
-    counts = {r["__part"]: r["count"] for r in rows.groupBy("__part").count().collect()}
-    before, total = {}, 0
-    for k in sorted(counts):
-        before[k] = total
-        total += counts[k]
-    base = F.element_at(F.create_map(*(F.lit(x) for kv in before.items() for x in kv)), F.col("__part")) if before else F.lit(0)
-    rows = rows.withColumn("row", (F.row_number().over(Window.partitionBy("__part").orderBy(*order)) + base).cast("bigint"))
-    values = F.array(*(F.struct(F.lit(i).alias("col"), F.col(c).cast("string").alias("txt"), F.col(c).try_cast("double").alias("num")) for i, c in enumerate(columns)))
+    n = max(64, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = df.withColumn("__key", _number(df, order[0]))
+    cuts = sorted(set(rows.approxQuantile("__key", [k / n for k in range(1, n)], 0.2 / n)))
+    # one literal text, however many cuts there are
+    ends = F.split(F.lit(" ".join(map(repr, cuts))), " ").cast("array<double>") if cuts else F.array().cast("array<double>")
+    rows = rows.withColumn("__part", F.when(F.col("__key").isNull(), -1).otherwise(F.size(F.filter(ends, lambda c: c <= F.col("__key"))))).drop("__key")
+    per = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).select("__part", F.coalesce(F.sum("__n").over(per), F.lit(0)).alias("__before"))  # a row a range
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    rows = rows.withColumn("__inside", inside).join(F.broadcast(before), "__part").withColumn("row", (F.col("__inside") + F.col("__before")).cast("bigint"))
+    values = F.array(*(F.struct(F.lit(i).alias("col"), F.col(c).cast("string").alias("txt"), F.col(c).cast("string").try_cast("double").alias("num")) for i, c in enumerate(columns)))
     body = rows.select(F.lit(sheet).alias("sheet"), "row", F.explode(values).alias("v")).select("sheet", "row", "v.*")
     head = df.sparkSession.createDataFrame([(sheet, 0, i, c, None) for i, c in enumerate(columns)], "sheet string, row bigint, col int, txt string, num double")
     return head.unionByName(body)

@@ -183,13 +183,13 @@ def excel_to_markdown_range(spark, sf_dir):
     return grid.to_markdown(_sheet(spark, sf_dir), 0, 0, 50, 2)
 
 
-@_query(f"""WITH {_SECTIONS}, t AS (SELECT n_regionkey, n_nationkey FROM sec WHERE idx = 1)
+@_query(f"""WITH t AS (SELECT n_regionkey, n_nationkey FROM nation a WHERE (SELECT count(*) FROM nation b WHERE b.n_regionkey = a.n_regionkey AND b.n_nationkey < a.n_nationkey) = 1)
 SELECT CAST(n_regionkey AS BIGINT) AS doc, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS INT) AS row, s_suppkey || ',' || s_name AS line FROM t JOIN supplier ON s_nationkey = n_nationkey UNION ALL SELECT CAST(n_regionkey AS BIGINT), 0, 'key,name' FROM t""")
 def md_table_export(spark, sf_dir):
     return md.table_lines(_report(spark, sf_dir), 1)
 
 
-@_query(f"""WITH {_SECTIONS}, t AS (SELECT n_regionkey, n_nationkey FROM sec WHERE idx = 1)
+@_query(f"""WITH t AS (SELECT n_regionkey, n_nationkey FROM nation a WHERE (SELECT count(*) FROM nation b WHERE b.n_regionkey = a.n_regionkey AND b.n_nationkey < a.n_nationkey) = 1)
 SELECT CAST(n_regionkey AS BIGINT) AS doc, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS INT) AS row, '{{"key":"' || s_suppkey || '","name":"' || s_name || '"}}' AS line FROM t JOIN supplier ON s_nationkey = n_nationkey""")
 def md_table_export_json(spark, sf_dir):
     return md.table_lines(_report(spark, sf_dir), 1, "json")

@@ -27,6 +27,51 @@ _DOC = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 _PACKAGE = "http://schemas.openxmlformats.org/package/2006"
 
 
+def _paragraph(node) -> str:
+    """Text of a paragraph's runs, with tabs and line breaks."""
+    mark = {"tab": "\t", "br": "\n"}
+    return "".join(x.text or "" if _local(x.tag) == "t" else mark.get(_local(x.tag), "") for x in node.iter())
+
+
+def _document(z: zipfile.ZipFile) -> str:
+    """The body of a text document: headings by their style, list items, tables, paragraphs."""
+    out = []
+    for node in next(x for x in ElementTree.fromstring(z.read("word/document.xml")) if _local(x.tag) == "body"):
+        if _local(node.tag) == "p":
+            style = next((v for x in node.iter() if _local(x.tag) == "pStyle" for k, v in x.attrib.items() if _local(k) == "val"), "")
+            level, text = re.fullmatch(r"(?i)heading ?([1-6])", style), _paragraph(node).strip()
+            item = any(_local(x.tag) == "numPr" for x in node.iter())
+            if text:
+                out.append("#" * (int(level[1]) if level else 1) + " " + text if level or style.lower() == "title" else "- " + text if item else text)
+        elif _local(node.tag) == "tbl":
+            rows = [["<br>".join(_paragraph(p) for p in c if _local(p.tag) == "p").replace("|", "\\|").replace("\n", "<br>") for c in r if _local(c.tag) == "tc"] for r in node if _local(r.tag) == "tr"]
+            if rows:
+                out.append("\n".join("| " + " | ".join(r) + " |" for r in [rows[0], ["---"] * len(rows[0]), *rows[1:]]))
+    return "\n\n".join(out) + "\n"
+
+
+def _slides(z: zipfile.ZipFile) -> str:
+    """The paragraphs of each slide, in the slides' order."""
+    targets = {r.get("Id"): os.path.normpath("ppt/" + r.get("Target")) if not r.get("Target").startswith("/") else r.get("Target")[1:] for r in ElementTree.fromstring(z.read("ppt/_rels/presentation.xml.rels"))}
+    out = []
+    for k, s in enumerate((x for x in ElementTree.fromstring(z.read("ppt/presentation.xml")).iter() if _local(x.tag) == "sldId"), 1):
+        texts = [_paragraph(p).strip() for p in ElementTree.fromstring(z.read(targets[s.get(_R)])).iter() if _local(p.tag) == "p"]
+        out.append("\n\n".join([f"## Slide {k}", *(x for x in texts if x)]))
+    return "\n\n".join(out) + "\n"
+
+
+def to_markdown(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """wb, text of text documents (docx) and presentations (pptx). A file that is neither raises an error."""
+
+    def convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for wb, content in zip(batch["wb"], batch["content"]):
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    yield pd.DataFrame({"wb": [wb], "text": [_document(z) if "word/document.xml" in z.namelist() else _slides(z)]})
+
+    return _files(spark, paths).mapInPandas(convert, "wb string, text string")
+
+
 def _files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(paths).select(F.col("path").alias("wb"), "content")
 
@@ -220,7 +265,7 @@ def _cell(row: int, col: int, txt, num, formula) -> str:
     if isinstance(formula, str) and formula:
         value = escape(_ILLEGAL.sub("", txt)) if isinstance(txt, str) else ""
         kind = ' t="str"' if value and num != num else ""
-        return f"<c {ref}{kind}><f>{escape(formula[1:])}</f>{f'<v>{value}</v>' if value else ''}</c>"
+        return f"<c {ref}{kind}><f>{escape(_ILLEGAL.sub('', formula[1:]))}</f>{f'<v>{value}</v>' if value else ''}</c>"
     if num is not None and num == num and isinstance(txt, str):
         return f"<c {ref}><v>{escape(txt)}</v></c>"
     return f'<c {ref} t="inlineStr"><is><t xml:space="preserve">{escape(_ILLEGAL.sub("", txt or ""))}</t></is></c>'
@@ -230,7 +275,7 @@ def workbooks(cells: DataFrame) -> DataFrame:
     """wb, content: a workbook file for each wb, of cells with wb, sheet, row, col, txt, num, formula.
 
     Cells are sorted within a partition and streamed into the zip file, so a task holds one compressed workbook and a batch of cells.
-    Sheets stand in the order of their names. Characters that XML can't hold are left out. An empty wb or sheet is no workbook.
+    Sheets stand in the order of a column ord, or else of their names. Characters that XML can't hold are left out. An empty wb or sheet is no workbook.
     """
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -275,5 +320,7 @@ def workbooks(cells: DataFrame) -> DataFrame:
         if wb is not None:
             yield close_book()
 
-    chosen = cells.select("wb", "sheet", "row", "col", "txt", "num", "formula").where("wb IS NOT NULL AND sheet IS NOT NULL")
-    return chosen.repartition("wb").sortWithinPartitions("wb", "sheet", "row", "col").mapInPandas(pack, "wb string, content binary")
+    place = F.col("ord") if "ord" in cells.columns else F.lit(0).alias("ord")
+    chosen = cells.select("wb", place, "sheet", "row", "col", "txt", "num", "formula").where("wb IS NOT NULL AND sheet IS NOT NULL")
+    dealt = chosen.repartition("wb").sortWithinPartitions("wb", "ord", "sheet", "row", "col").drop("ord")
+    return dealt.mapInPandas(pack, "wb string, content binary")

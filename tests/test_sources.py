@@ -5,9 +5,9 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from foliate.functions import edits, formula
+from foliate.functions import convert, edits, formula
 from foliate.functions import markdown as md
-from foliate.operators import preservation, workbook
+from foliate.operators import grid, preservation, workbook
 from foliate.sources import package
 from foliate.streaming import documents
 
@@ -116,3 +116,42 @@ def test_stream(spark, tmp_path):
     for _ in range(2):  # a second run finds nothing new
         documents.each_batch(documents.text_files(spark, str(tmp_path / "in")), md.headings, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination(60)
     assert sorted(r.title for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["T0", "T1", "T2"]
+
+
+def test_converters(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes(b'k,v\r\n1,"a, ""b"" | c\nd"\r\n2\r\n')
+    (tmp_path / "a.json").write_bytes(b'\xef\xbb\xbf{"a": [1,\n2]}')
+    assert convert.csv_files(spark, str(tmp_path / "a.csv")).first().text == '| k | v |\n| --- | --- |\n| 1 | a, "b" \\| c<br>d |\n| 2 |  |\n'
+    assert convert.text_files(spark, str(tmp_path / "a.json")).first().text == '{"a": [1,\n2]}'
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    run = lambda t, p="": f"<w:p><w:pPr>{p}</w:pPr><w:r><w:t>{t}</w:t></w:r></w:p>"
+    with zipfile.ZipFile(tmp_path / "a.docx", "w") as z:
+        cells = "".join(f"<w:tr><w:tc>{run(a)}</w:tc><w:tc>{run(b)}</w:tc></w:tr>" for a, b in (("h", "i"), ("1|", "2")))
+        z.writestr("word/document.xml", f'<w:document {w}><w:body>{run("Top", "<w:pStyle w:val=" + chr(34) + "Heading2" + chr(34) + "/>")}{run("text")}{run("item", "<w:numPr/>")}<w:tbl>{cells}</w:tbl></w:body></w:document>')
+    assert package.to_markdown(spark, str(tmp_path / "a.docx")).first().text == "## Top\n\ntext\n\n- item\n\n| h | i |\n| --- | --- |\n| 1\\| | 2 |\n"
+    r = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    with zipfile.ZipFile(tmp_path / "a.pptx", "w") as z:
+        z.writestr("ppt/presentation.xml", f'<p:presentation xmlns:p="p" {r}><p:sldIdLst><p:sldId r:id="b"/><p:sldId r:id="a"/></p:sldIdLst></p:presentation>')
+        z.writestr("ppt/_rels/presentation.xml.rels", '<Relationships><Relationship Id="a" Target="slides/slide1.xml"/><Relationship Id="b" Target="slides/slide2.xml"/></Relationships>')
+        for k in (1, 2):
+            z.writestr(f"ppt/slides/slide{k}.xml", f'<p:sld xmlns:p="p" xmlns:a="a"><a:p><a:r><a:t>T{k}</a:t></a:r></a:p><a:p/></p:sld>')
+    assert package.to_markdown(spark, str(tmp_path / "a.pptx")).first().text == "## Slide 1\n\nT2\n\n## Slide 2\n\nT1\n"
+
+
+def test_sheets_of_any_key(spark):
+    """Rows in the order of numbers, texts, dates and times, with ties and nulls; sheets in a given order."""
+    rows = [(k * 7 % 50, f"n{k * 11 % 40:02d}x", f"2024-01-{k % 28 + 1:02d}") for k in range(300)] + [(None, None, None)]
+    df = spark.createDataFrame(rows, "a int, b string, c string").withColumn("d", F.to_date("c")).withColumn("t", F.to_timestamp("c"))
+    for key in ("a", "b", "d", "t"):
+        got = [r.txt for r in grid.to_cells(df, "s", [key, "a", "b"], [key]).where("row > 0").orderBy("row").collect()]
+        assert got == [r.x for r in df.orderBy(F.col(key).asc_nulls_first(), "a", "b").select(F.col(key).cast("string").alias("x")).collect()], key
+    cells = spark.createDataFrame([("w", k, s, 0, 0, s, None, None) for k, s in enumerate(("Z", "A", "M"))], "wb string, ord int, sheet string, row bigint, col int, txt string, num double, formula string")
+    content = package.workbooks(cells).first().content
+    assert [n for n, _ in package._sheets(zipfile.ZipFile(io.BytesIO(content)))] == ["Z", "A", "M"]
+
+
+def test_links_to_anchors_and_files(spark):
+    docs = spark.createDataFrame([(1, "# A b\n[x](#a%2Db) [y]( #a-b) [z](#a%20b)\n[f](./d%20e.md#x) [g](http://h/i) [h](none.md) ![p](p.png?x)")], "doc bigint, text string")
+    assert [r.target for r in md.missing_anchors(docs).collect()] == ["#a%20b"]
+    files = spark.createDataFrame([("d e.md",), ("p.png",)], "path string")
+    assert [r.target for r in md.missing_files(docs, files).collect()] == ["none.md"]
