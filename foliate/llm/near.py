@@ -4,8 +4,10 @@ Fingerprints of five-word shingles that the tiled comparison (see simhash) links
 a similarity of 4/5 without linking others, so every pair is confirmed by counting, and what fingerprints miss comes by exact candidates: in one order of all shingles, texts that link share one of their first n - ceil(4n/5) + 1 shingles (n: the size of
 the set), so only these go to postings and no link is missed. The order takes rare shingles first, by counts in a table of
 BUCKETS numbers; any order gives the same links, this one short postings. A pair is proposed at a posting only if its sizes and
-what follows the posting in both can reach the similarity. Pairs of near fingerprints and neighbours in each posting are proposed and confirmed first; then all pairs that
-these links leave in different components. So a large group of copies costs its number and not its square, and no link's effect is lost.
+what follows the posting in both can reach the similarity. Pairs of near fingerprints and neighbours in each posting are proposed and confirmed first; then what
+these links leave in different components. Postings where only few rows (SMALL) can still meet another component propose all such pairs. In larger ones the rows meet with their bitmaps inside the task, so pairs that cannot
+reach the similarity are never written: each row proposes its likeliest partner of another component, in up to ROUNDS rounds over ever fewer components; a last pass proposes
+all pairs that are still apart and can link. So a large group of copies costs its number and not its square in proposed pairs, and no link's effect is lost.
 
 Proposed pairs first meet by bitmaps of BITS bits: a bit that only one set has is a shingle that only it has, which bounds what both hold
 from above; rows that are in no pair don't move. Every pair that is left is confirmed by counting the shingles (their XXH64) that both sets hold. Defined results: a null text counts as empty; texts without
@@ -14,7 +16,7 @@ words are copies of each other; null ids are rows like others and come last; an
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from foliate.llm import common
 from foliate.llm.components import components
 from foliate.llm.simhash import RADIUS, hashes, links, majority
 
-SHINGLE, BUCKETS, BLOCK, BITS, FEW = 5, 1 << 18, 512, 2048, 500_000
+SHINGLE, BUCKETS, BLOCK, BITS, FEW, SMALL, ROUNDS = 5, 1 << 18, 256, 2048, 500_000, 8, 3
 
 
 def sets(slim: DataFrame) -> DataFrame:
@@ -103,45 +105,54 @@ def confirmed(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return both.where(9 * held >= 4 * (F.size("a.shingles") + F.size("b.shingles"))).select("u", "v")
 
 
-def proposed(lists: DataFrame, neighbours: bool) -> DataFrame:
-    """u < v: pairs of rows in one posting (h, n, row, rest, root) with different roots that can reach the similarity; with `neighbours` only rows that stand side by side by size."""
-
-    def pairs(row: np.ndarray, n: np.ndarray, rest: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        if neighbours:
-            good = 9 * np.minimum(rest[:-1], rest[1:]) >= 4 * (n[:-1] + n[1:])
-            yield row[:-1][good], row[1:][good]
-        elif (root != root[0]).any():
-            # rows come by size: those that a row can meet end where sizes pass 5/4 of its own
-            ends = np.searchsorted(4 * n, 5 * n, "right")
-            for a in range(0, len(row), BLOCK):
-                for b in range(a, int(ends[min(a + BLOCK, len(row)) - 1]), BLOCK):
-                    x, y = slice(a, a + BLOCK), slice(b, b + BLOCK)
-                    good = (9 * np.minimum(rest[x, None], rest[None, y]) >= 4 * (n[x, None] + n[None, y])) & (root[x, None] != root[None, y])
-                    i, j = np.nonzero(good)
-                    yield row[a + i], row[b + j]
+def meetings(row: np.ndarray, n: np.ndarray, rest: np.ndarray, root: np.ndarray, bits: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of one posting by size: places i, j of rows with different roots that can reach the similarity, block by block, and at most how many shingles both hold."""
+    if not (root != root[0]).any():
+        return
+    ones = None if bits is None else np.bitwise_count(bits).sum(1, dtype=np.int64)
+    # rows come by size: those that a row can meet end where sizes pass 5/4 of its own
+    ends = np.searchsorted(4 * n, 5 * n, "right")
+    for a in range(0, len(row), BLOCK):
+        for b in range(a, int(ends[min(a + BLOCK, len(row)) - 1]), BLOCK):
+            x, y = slice(a, a + BLOCK), slice(b, b + BLOCK)
+            good = (9 * np.minimum(rest[x, None], rest[None, y]) >= 4 * (n[x, None] + n[None, y])) & (root[x, None] != root[None, y])
+            i, j = np.nonzero(np.triu(good, 1) if a == b else good)
+            i, j = i + a, j + b
+            if ones is None:
+                yield i, j, np.minimum(rest[i], rest[j])
+            elif len(i):
+                both = np.bitwise_count(bits[i] & bits[j]).sum(1, dtype=np.int64)
+                most = both + np.minimum(n[i] - ones[i], n[j] - ones[j])
+                left = 9 * most >= 4 * (n[i] + n[j])
+                yield i[left], j[left], most[left]
+
+
+def by_posting(lists: DataFrame, work: Callable[..., Iterator[np.ndarray]], names: list[str]) -> DataFrame:
+    """What work makes of each posting of two rows or more (row, n, rest, root by size, and bits where lists has them): arrays of whole numbers, a line for each of the names."""
+    wide = "bits" in lists.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []  # of the posting that the next batch may go on with
-        found: list[tuple[np.ndarray, np.ndarray]] = []
+        found: list[np.ndarray] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal size
-            both = np.unique(np.sort(np.stack([np.concatenate([x[k] for x in found]) for k in (0, 1)], 1), axis=1), axis=0)
+            out = np.unique(np.concatenate(found, 1), axis=1)
             found.clear()
             size = 0
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["u", "v"])
+            return pa.RecordBatch.from_arrays([pa.array(x.copy()) for x in out], names)
 
-        def work(block: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def worked(block: np.ndarray) -> Iterator[pa.RecordBatch]:
             nonlocal size
             cuts = np.flatnonzero(np.diff(block[0])) + 1
             starts, stops = np.concatenate([[0], cuts]), np.concatenate([cuts, [block.shape[1]]])
             many = stops - starts > 1
             for a, b in zip(starts[many].tolist(), stops[many].tolist(), strict=True):
-                for p in pairs(*block[1:, a:b]):
-                    if len(p[0]):
-                        found.append(p)
-                        size += len(p[0])
+                for x in work(block[0, a], *block[1:5, a:b], *([np.ascontiguousarray(block[5:, a:b].T).view(np.uint64)] if wide else [])):
+                    if x.shape[1]:
+                        found.append(x)
+                        size += x.shape[1]
                         if size > 1_000_000:
                             yield flush()
 
@@ -149,21 +160,62 @@ def proposed(lists: DataFrame, neighbours: bool) -> DataFrame:
             block = np.stack([batch.column(c).to_numpy() for c in ("h", "row", "n", "rest", "root")])
             if not block.shape[1]:
                 continue
+            if wide:
+                block = np.concatenate([block, batch.column("bits").flatten().to_numpy().reshape(block.shape[1], -1).T])
             if held and held[0][0, -1] != block[0, 0]:
-                yield from work(np.concatenate(held, 1))
+                yield from worked(np.concatenate(held, 1))
                 held = []
             last = int(np.searchsorted(block[0], block[0, -1]))
             if last:
-                yield from work(np.concatenate([*held, block[:, :last]], 1))
+                yield from worked(np.concatenate([*held, block[:, :last]], 1))
                 held = []
             held.append(block[:, last:])
         if held:
-            yield from work(np.concatenate(held, 1))
+            yield from worked(np.concatenate(held, 1))
         if found:
             yield flush()
 
     n = common.partitions(lists.sparkSession)
-    return lists.repartition(n, "h").sortWithinPartitions("h", "n", "row").mapInArrow(run, "u bigint, v bigint")
+    lists = lists.select("h", "row", "n", "rest", "root", *["bits"] * wide)
+    return lists.repartition(n, "h").sortWithinPartitions("h", "n", "row").mapInArrow(run, ", ".join(f"{x} bigint" for x in names))
+
+
+def proposed(lists: DataFrame, neighbours: bool, likeliest: bool = False) -> DataFrame:
+    """u < v: pairs of rows in one posting (h, n, row, rest, root, bits if they are there) with different roots that can reach the similarity; with `neighbours` only rows that stand side by side by size, with `likeliest` one pair for each row."""
+
+    def work(h: int, row: np.ndarray, n: np.ndarray, rest: np.ndarray, root: np.ndarray, bits: np.ndarray | None = None) -> Iterator[np.ndarray]:
+        if neighbours:
+            good = 9 * np.minimum(rest[:-1], rest[1:]) >= 4 * (n[:-1] + n[1:])
+            yield np.sort(np.stack([row[:-1][good], row[1:][good]]), axis=0)
+        elif likeliest:
+            best, other = np.zeros(len(row)), np.zeros(len(row), np.int64)
+            for i, j, most in meetings(row, n, rest, root, bits):
+                value = most / (n[i] + n[j])
+                for here, there in ((i, j), (j, i)):
+                    order = np.lexsort((value, here))
+                    order = order[np.append(np.diff(here[order]) > 0, True)] if len(order) else order
+                    order = order[value[order] > best[here[order]]]
+                    best[here[order]], other[here[order]] = value[order], there[order]
+            some = np.flatnonzero(best)
+            yield np.sort(np.stack([row[some], row[other[some]]]), axis=0)
+        else:
+            for i, j, _ in meetings(row, n, rest, root, bits):
+                yield np.sort(np.stack([row[i], row[j]]), axis=0)
+
+    return by_posting(lists, work, ["u", "v"])
+
+
+def apart(lists: DataFrame) -> DataFrame:
+    """Of the postings the rows that can reach the similarity with one of another root; k: how many these are in the posting. At most a row for each row."""
+
+    def work(h: int, row: np.ndarray, n: np.ndarray, rest: np.ndarray, root: np.ndarray) -> Iterator[np.ndarray]:
+        some = np.zeros(len(row), bool)
+        for i, j, _ in meetings(row, n, rest, root):
+            some[i] = some[j] = True
+        k = int(some.sum())
+        yield np.stack([np.full(k, h), row[some], n[some], rest[some], root[some], np.full(k, k)])
+
+    return by_posting(lists, work, ["h", "row", "n", "rest", "root", "k"])
 
 
 def by_fingerprint(rows: DataFrame) -> DataFrame:
@@ -178,10 +230,20 @@ def rooted(rows: DataFrame) -> DataFrame:
     """rows: row, shingles, bits, fp. Returns node, root for each row that links to another."""
     lists = common.staged(postings(rows), "postings")
     first = proposed(lists.withColumn("root", F.col("row")), True).unionByName(by_fingerprint(rows))
-    first = common.staged(confirmed(first, rows), "links")
-    roots = common.staged(components(first), "roots")
-    lists = lists.join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
-    return components(first.unionByName(confirmed(proposed(lists, False), rows)))
+    under = lambda x, roots: x.drop("root").join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
+    merged = lambda roots, new: common.staged(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(new)), "roots")
+    roots = common.staged(components(common.staged(confirmed(first, rows), "links")), "roots")
+    left = common.staged(apart(under(lists, roots)), "apart")
+    new = common.staged(confirmed(proposed(left.where(F.col("k") <= SMALL), False), rows), "links")
+    left = common.staged(left.where(F.col("k") > SMALL).join(rows.select("row", "bits"), "row"), "wide")
+    more = left.limit(1).count() > 0
+    for _ in range(ROUNDS if more else 0):
+        roots = merged(roots, new)
+        new = common.staged(confirmed(proposed(under(left, roots), False, True), rows), "links")
+        if not new.limit(1).count():
+            break
+    roots = merged(roots, new)
+    return merged(roots, confirmed(proposed(under(left, roots), False), rows)) if more else roots
 
 
 def keep_first(docs: DataFrame) -> DataFrame:

@@ -257,6 +257,33 @@ def test_near_copies_are_those_of_brute_force(spark):
         assert sum(texts[j][0] == kind for _, j in want) >= 10
 
 
+def test_a_large_group_of_near_copies_proposes_no_square(spark, monkeypatch):
+    """Variants of one text, most of them under the similarity: few pairs are proposed, and the groups are those of brute force."""
+    r = np.random.default_rng(3)
+    base, texts = [f"b{k}" for k in range(148)], []
+    for k in range(400):
+        x = list(base)
+        for at in (8, 16, 24) if k % 4 == 0 else r.choice(np.arange(8, 140, 8), 3, replace=False).tolist():
+            x[at] = f"v{k}.{at}"
+        texts.append(" ".join(x))
+    sets = [{" ".join(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    comp = np.arange(len(texts))
+    linked = np.array([[5 * len(a & b) >= 4 * len(a | b) for b in sets] for a in sets])
+    while not (comp == (new := np.array([comp[x].min() for x in linked]))).all():
+        comp = new
+    asked, confirmed = [], near.confirmed
+
+    def counted(pairs, rows):
+        pairs = common.staged(pairs, "test")
+        asked.append(pairs.count())
+        return confirmed(pairs, rows)
+
+    monkeypatch.setattr(near, "confirmed", counted)
+    docs = common.staged(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), "test")
+    assert sorted(x.doc_id for x in near.keep_first(docs).collect()) == sorted(set(comp.tolist()))
+    assert 2 < len(set(comp.tolist())) < 400 and max(asked) < 20 * len(texts), asked
+
+
 def test_quality(spark, docs, nothing):
     got = quality.op5_quality(spark, "/root/testdata/sf0.01").toPandas().merge(common.table(spark, "/root/testdata/sf0.01", "labels").toPandas(), on="doc_id")
     held = got[got.held_out]
