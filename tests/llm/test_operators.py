@@ -522,6 +522,25 @@ def test_slopes_of_the_model():
         assert np.isclose((sides[0] - sides[1]) / 2e-5, slopes[name][at], rtol=1e-3, atol=1e-7), name
 
 
+def test_lm_learns_from_every_word(spark, monkeypatch):
+    """The pieces hold each subword and end of the training texts as a target once, with what stands before it; the rounds deal each piece out once."""
+    texts = [" ".join(f"w{k}x{i}" for i in range(n)) for k, n in enumerate((0, 1, 5, 255, 256, 257, 3000))]
+    table, docs = lm.words_by(lm.tokenizer_path()), spark.createDataFrame([(t,) for t in texts], "text string")
+    found = common.staged(lm.pieces(docs, lm.tokenizer_path()), "test")
+    got, want = [], []
+    for t in texts:
+        ids = [lm.END] * lm.BEFORE + lm.subwords(table, lm.words(t)).tolist() + [lm.END]
+        want += [tuple(ids[i - lm.BEFORE : i + 1]) for i in range(lm.BEFORE, len(ids))]
+    for r in found.collect():
+        got += [tuple(r.ids[i - lm.BEFORE : i + 1]) for i in range(lm.BEFORE, len(r.ids))]
+    assert sorted(got) == sorted(want)
+    asked, tree_sum = [], common.tree_sum
+    monkeypatch.setattr(common, "tree_sum", lambda x: asked.append(np.frombuffer(b"".join(r.blob for r in x.collect())).reshape(-1, sum(w.size for w in model.weights.values()) + 1)[:, -1].sum()) or tree_sum(x))
+    model, _ = small_model()
+    lm.refine(model, found)
+    assert sum(asked) == sum(-(-(len(r.ids) - lm.BEFORE) // lm.STRIDE) for r in found.collect())
+
+
 def test_lm_beats_its_base(spark):
     got = lm.score(common.documents(spark, "/root/testdata/sf0.01"), steps=300).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert got.s > got.b
