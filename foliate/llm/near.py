@@ -87,7 +87,7 @@ def postings(rows: DataFrame) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Of the pairs u, v of rows, those whose sets have the similarity. Of few pairs (at most FEW, 16 bytes each) only the rows that are in one leave their place."""
+    """Of the pairs u, v of rows, those whose sets have the similarity, staged. Of few pairs (at most FEW, 16 bytes each) only the rows that are in one leave their place."""
 
     def joined(asked: DataFrame, *what) -> DataFrame:
         few = asked.count() <= FEW
@@ -97,12 +97,16 @@ def confirmed(pairs: DataFrame, rows: DataFrame) -> DataFrame:
         return asked
 
     only = lambda x, y: F.aggregate(F.zip_with(f"{x}.bits", f"{y}.bits", lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, n: s + n)
-    rough = joined(common.staged(pairs.distinct(), "proposed"), F.size("shingles").alias("n"), "bits")
+    asked = common.staged(pairs.distinct(), "proposed")
+    rough = joined(asked, F.size("shingles").alias("n"), "bits")
     most = F.least(F.col("a.n") - only("a", "b"), F.col("b.n") - only("b", "a"))
     left = common.staged(rough.where(9 * most >= 4 * (F.col("a.n") + F.col("b.n"))).select("u", "v"), "pairs")
+    common.discard(asked)
     both = joined(left, "shingles")
     held = F.size(F.array_intersect("a.shingles", "b.shingles"))
-    return both.where(9 * held >= 4 * (F.size("a.shingles") + F.size("b.shingles"))).select("u", "v")
+    found = common.staged(both.where(9 * held >= 4 * (F.size("a.shingles") + F.size("b.shingles"))).select("u", "v"), "links")
+    common.discard(left)
+    return found
 
 
 def meetings(row: np.ndarray, n: np.ndarray, rest: np.ndarray, root: np.ndarray, bits: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -231,19 +235,31 @@ def rooted(rows: DataFrame) -> DataFrame:
     lists = common.staged(postings(rows), "postings")
     first = proposed(lists.withColumn("root", F.col("row")), True).unionByName(by_fingerprint(rows))
     under = lambda x, roots: x.drop("root").join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
-    merged = lambda roots, new: common.staged(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(new)), "roots")
-    roots = common.staged(components(common.staged(confirmed(first, rows), "links")), "roots")
-    left = common.staged(apart(under(lists, roots)), "apart")
-    new = common.staged(confirmed(proposed(left.where(F.col("k") <= SMALL), False), rows), "links")
-    left = common.staged(left.where(F.col("k") > SMALL).join(rows.select("row", "bits"), "row"), "wide")
+
+    def merged(roots: DataFrame, new: DataFrame) -> DataFrame:
+        found = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(new))
+        common.discard(roots, new)
+        return found
+
+    new = confirmed(first, rows)
+    roots = components(new)
+    common.discard(new)
+    open_ = common.staged(apart(under(lists, roots)), "apart")
+    common.discard(lists)
+    new = confirmed(proposed(open_.where(F.col("k") <= SMALL), False), rows)
+    left = common.staged(open_.where(F.col("k") > SMALL).join(rows.select("row", "bits"), "row"), "wide")
+    common.discard(open_)
     more = left.limit(1).count() > 0
     for _ in range(ROUNDS if more else 0):
         roots = merged(roots, new)
-        new = common.staged(confirmed(proposed(under(left, roots), False, True), rows), "links")
+        new = confirmed(proposed(under(left, roots), False, True), rows)
         if not new.limit(1).count():
             break
     roots = merged(roots, new)
-    return merged(roots, confirmed(proposed(under(left, roots), False), rows)) if more else roots
+    if more:
+        roots = merged(roots, confirmed(proposed(under(left, roots), False), rows))
+    common.discard(left)
+    return roots
 
 
 def keep_first(docs: DataFrame) -> DataFrame:

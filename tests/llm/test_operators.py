@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import re
 import zlib
 from collections import Counter
@@ -13,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from foliate.llm import common, exact_dedup, fingerprints, lm, lyndon, mixing, near, packing, pii, quality, queries, simhash, substrings, toxicity
+from foliate.llm import common, components, exact_dedup, fingerprints, lm, lyndon, mixing, near, packing, pii, quality, queries, simhash, substrings, toxicity
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, rank int, row int, at string, h int, fp string"
@@ -284,6 +285,41 @@ def test_a_large_group_of_near_copies_proposes_no_square(spark, monkeypatch):
     assert 2 < len(set(comp.tolist())) < 400 and max(asked) < 20 * len(texts), asked
 
 
+@pytest.mark.parametrize("few", [500_000, 100])
+def test_components_of_a_long_chain_take_few_rounds(spark, monkeypatch, few):
+    """A chain of 600 in a shuffled order, a large star and pairs: components are right by contraction alone and with rounds after it; what rounds wrote is gone."""
+    monkeypatch.setattr(components, "FEW", few)
+    r = np.random.default_rng(5)
+    names = r.permutation(600).astype(int).tolist()
+    edges = [*zip(names, names[1:], strict=False), *((2000, 2001 + k) for k in range(300)), *((4000 + 2 * k, 4001 + 2 * k) for k in range(50)), (5000, 5000)]
+    written, staged = [], common.staged
+
+    def counted(df, name):
+        out = staged(df, name)
+        written.append(common._STAGED[out])
+        return out
+
+    monkeypatch.setattr(common, "staged", counted)
+    got = {x.node: x.root for x in components.components(spark.createDataFrame([(int(a), int(b)) for a, b in edges], "u bigint, v bigint").repartition(7)).collect()}
+    assert got == {x: 0 for x in range(600)} | {x: 2000 for x in range(2000, 2301)} | {4000 + x: 4000 + x // 2 * 2 for x in range(100)}
+    assert len(written) == 2 if few > 1000 else len(written) > 6
+    assert sum(os.path.exists(x.removeprefix("file:")) for x in written) == 1
+    assert components.components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
+
+
+def test_near_copies_leave_no_tables_behind(spark):
+    """Pairs, links, postings and rounds are deleted as soon as what is made of them is written."""
+    folder = common.shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    base = [f"b{k}" for k in range(148)]
+    texts = [" ".join(f"v{k}.{at}" if at in (8 + 8 * (k % 16), 8 + 8 * (k // 16)) else x for at, x in enumerate(base)) for k in range(200)]
+    docs = common.staged(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), "test")
+    kept = near.keep_first(docs)
+    left = sorted(x.split("-")[1] for x in set(os.listdir(folder)) - before)
+    assert kept.count() >= 1 and set(left) <= {"test", "sets", "roots", "firsts", "tiles"}, left
+    assert left.count("roots") == left.count("sets") == 1, left
+
+
 def test_quality(spark, docs, nothing):
     got = quality.op5_quality(spark, "/root/testdata/sf0.01").toPandas().merge(common.table(spark, "/root/testdata/sf0.01", "labels").toPandas(), on="doc_id")
     held = got[got.held_out]
