@@ -577,6 +577,32 @@ def test_lm_learns_from_every_word(spark, monkeypatch):
     assert sum(asked) == sum(-(-(len(r.ids) - lm.BEFORE) // lm.STRIDE) for r in found.collect())
 
 
+def test_frequent_words_are_units(spark):
+    """A frequent word is one unit, others are spelled, also where all are encoded at once; the pieces and the shares of a class hold both kinds."""
+    path, whole = lm.tokenizer_path(), lm.whole_words({b"zb": 9, b"qontioner": 9, b"rare": lm.LEAST - 1, b"most": 50}, 2)
+    assert whole == (b"most", b"qontioner")
+    odd = [b"qontioner", b"it's", b"\xc3\xa9a", b"x\xc2\xa0y", b"\x1c", b"\xed\xa0\x80", b"a,b;", b"most", b"12ab--"]
+    ids, table = packing.ids_by(path), lm.words_by(path, whole)
+    for some in (odd, odd[:3] + odd[6:], odd[:1], []):
+        each = [ids.encode_piece(" " + w.decode("utf-8", "replace")) for w in some]
+        got, lengths = lm.encoded(ids, some)
+        assert (got.tolist(), lengths.tolist()) == ([i for x in each for i in x], [len(x) for x in each])
+        assert all(ids.starting[x].tolist() == [True] + [False] * (len(x) - 1) for x in each)
+    table.fill(set(odd))
+    spelled = {w: ids.encode_piece(" " + w.decode("utf-8", "replace")) for w in odd} | {w: [lm.VOCABULARY + i] for i, w in enumerate(whole)}
+    assert {w: lm.subwords(table, [w]).tolist() for w in odd} == spelled
+    found = lm.pieces(spark.createDataFrame([("Most qontioner a,b; most",)], "text string"), path, spark.sparkContext.broadcast(whole)).collect()
+    want = [x for w in (b"most", b"qontioner", b"a,b;", b"most") for x in spelled[w]]
+    assert [r.ids for r in found] == [[lm.END] * lm.BEFORE + want + [lm.END]]
+    counts = np.append(np.zeros(lm.VOCABULARY), [50.0, 9])
+    counts[spelled[b"a,b;"]] = 3
+    starts = np.append(ids.starting, [True] * (len(counts) - len(ids.starting)))
+    model = lm.Model(counts, starts, np.zeros(0, np.int64), np.zeros(0, np.float32))
+    every = np.arange(len(counts))
+    assert np.allclose(np.bincount(model.to_class, 10 ** model.within(np.full(len(every), lm.END), every))[np.unique(model.to_class)], 1, atol=1e-6)
+    assert len(model.score([np.array(want)])) == len(want) + 1
+
+
 def test_lm_beats_its_base(spark):
     got = lm.score(common.documents(spark, "/root/testdata/sf0.01"), steps=300).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert got.s > got.b
