@@ -4,6 +4,7 @@ import hashlib
 import math
 import os
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -456,6 +457,18 @@ def test_ids_where_separators_balance():
     assert [table.of(t) for t in texts] == table.whole(texts)
 
 
+def test_ids_keep_nothing_of_the_texts():
+    """A worker's memory doesn't grow with the different words it has seen."""
+    table = packing.Ids(packing.tokenizer_path())
+    table.of("a first text")
+    tracemalloc.start()
+    for k in range(200):
+        table.of(" ".join(f"w{k}x{i}y" for i in range(250)))
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 1_000_000
+
+
 def test_lm(spark, docs, nothing):
     got = lm.score(docs, head=3, steps=20).collect()
     ws = [lm.words(t) for _, t in TEXTS]
