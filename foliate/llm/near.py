@@ -28,6 +28,7 @@ from foliate.llm.components import components
 from foliate.llm.simhash import RADIUS, hashes, links, majority
 
 SHINGLE, BUCKETS, BLOCK, BITS, FEW, SMALL, ROUNDS = 5, 1 << 18, 256, 2048, 500_000, 8, 3
+HELD, MEET = 1_000_000, 1 << 13  # numbers that a task holds before it gives them away, pairs whose bitmaps meet at once
 
 
 def sets(slim: DataFrame) -> DataFrame:
@@ -60,7 +61,8 @@ def bucket_counts(rows: DataFrame) -> np.ndarray:
             total += np.bincount(batch.column("shingles").flatten().to_numpy() & (BUCKETS - 1), minlength=BUCKETS)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["blob"])
 
-    total = common.tree_sum(rows.select("shingles").mapInArrow(run, "blob binary"))
+    with common.small_batches(rows.sparkSession):
+        total = common.tree_sum(rows.select("shingles").mapInArrow(run, "blob binary"))
     return np.zeros(BUCKETS) if total is None else total
 
 
@@ -125,7 +127,7 @@ def meetings(row: np.ndarray, n: np.ndarray, rest: np.ndarray, root: np.ndarray,
             if ones is None:
                 yield i, j, np.minimum(rest[i], rest[j])
             elif len(i):
-                both = np.bitwise_count(bits[i] & bits[j]).sum(1, dtype=np.int64)
+                both = np.concatenate([np.bitwise_count(bits[i[k : k + MEET]] & bits[j[k : k + MEET]]).sum(1, dtype=np.int64) for k in range(0, len(i), MEET)])
                 most = both + np.minimum(n[i] - ones[i], n[j] - ones[j])
                 left = 9 * most >= 4 * (n[i] + n[j])
                 yield i[left], j[left], most[left]
@@ -156,8 +158,8 @@ def by_posting(lists: DataFrame, work: Callable[..., Iterator[np.ndarray]], name
                 for x in work(block[0, a], *block[1:5, a:b], *([np.ascontiguousarray(block[5:, a:b].T).view(np.uint64)] if wide else [])):
                     if x.shape[1]:
                         found.append(x)
-                        size += x.shape[1]
-                        if size > 1_000_000:
+                        size += x.size
+                        if size > HELD:
                             yield flush()
 
         for batch in batches:
@@ -232,7 +234,7 @@ def by_fingerprint(rows: DataFrame) -> DataFrame:
 
 def rooted(rows: DataFrame) -> DataFrame:
     """rows: row, shingles, bits, fp. Returns node, root for each row that links to another."""
-    lists = common.staged(postings(rows), "postings")
+    lists = common.staged(postings(rows), "postings", small=True)
     first = proposed(lists.withColumn("root", F.col("row")), True).unionByName(by_fingerprint(rows))
     under = lambda x, roots: x.drop("root").join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
 
@@ -267,7 +269,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     common.prepare(docs.sparkSession)
     digest = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
     slim = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), digest.alias("digest"))
-    rows = common.staged(sets(slim), "sets")
+    rows = common.staged(sets(slim), "sets", small=True)
     roots = rooted(rows.select("row", "shingles", "bits", "fp"))
     groups = rows.select("row", "doc_id", "digest").join(roots.withColumnRenamed("node", "row"), "row", "left")
     first = groups.groupBy(F.coalesce("root", "row").alias("group")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")).alias("first"))

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from foliate.llm import common
 
 N_FEATURES, RIDGE, BINS, FOLDS, FITS, THRESHOLD, SEED = 320, 1e-3, 512, 5, 3, 0.3, 17
+ROWS = 1024  # whose features are there at once
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _KINDS = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" ", b"\n", b"!", b"?", b".", b",", b"|", b"#$%&*", b"<>{}[]\\=_~^`", b"'\"", b"()-/:;+@"]
 _KIND_OF = np.zeros((256, len(_KINDS) + 1))
@@ -96,7 +97,7 @@ class Model:
         return np.concatenate([math.sqrt(2 / N_FEATURES) * np.cos(z @ self.w + self.b), np.ones((len(x), 1))], axis=1)
 
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return np.clip(self.features(x) @ self.ridge, 0, 1)
+        return np.clip(np.concatenate([self.features(x[k : k + ROWS]) @ self.ridge for k in range(0, max(1, len(x)), ROWS)]), 0, 1)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return np.clip(np.interp(self.raw(x), self.edges, self.values), 0, 1)
@@ -136,9 +137,11 @@ def fit(train: DataFrame) -> Model | None:
     def equations(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((FITS, d + 1, d + 1))
         for pdf in batches:
-            for fold, part in pdf.groupby("fold"):
-                z = np.concatenate([model.features(_matrix(part)), part[["label"]].to_numpy(np.float64)], axis=1)
-                total[fold] += z.T @ z
+            for fold, rows in pdf.groupby("fold"):
+                for k in range(0, len(rows), ROWS):
+                    part = rows.iloc[k : k + ROWS]
+                    z = np.concatenate([model.features(_matrix(part)), part[["label"]].to_numpy(np.float64)], axis=1)
+                    total[fold] += z.T @ z
         yield pd.DataFrame({"blob": [total.tobytes()]})
 
     sums = common.tree_sum(train.mapInPandas(equations, "blob binary")).reshape(FITS, d + 1, d + 1)
@@ -147,8 +150,9 @@ def fit(train: DataFrame) -> Model | None:
 
     def bins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((2, BINS))
-        for pdf in batches:
-            if len(pdf):
+        for whole in batches:
+            for k in range(0, len(whole), ROWS):
+                pdf = whole.iloc[k : k + ROWS]
                 raw = np.clip((model.features(_matrix(pdf)) * others[pdf["fold"].to_numpy()]).sum(1), 0, 1)
                 at = np.minimum((raw * BINS).astype(int), BINS - 1)
                 total += [np.bincount(at, minlength=BINS), np.bincount(at, pdf["label"].to_numpy(np.float64), BINS)]
@@ -177,7 +181,7 @@ def scored(stats: DataFrame, model: Model | None) -> DataFrame:
 
 def classify(docs: DataFrame, labels: DataFrame, keep: Column | None = None) -> DataFrame:
     """labels: doc_id, label. Learns from labelled documents whose crc32 remainder isn't 0, scores all."""
-    stats = common.staged(document_statistics(docs, keep), "statistics")
+    stats = common.staged(document_statistics(docs, keep), "statistics", small=True)
     fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FITS)).cast("int").alias("fold")
     train = common.staged(stats.join(labels, "doc_id").where(common.remainder(F.col("doc_id"), FOLDS) != 0).select("x", "label", fold), "train")
     return scored(stats, fit(train))

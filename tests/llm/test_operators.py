@@ -650,3 +650,38 @@ def test_pipeline_edges(spark, docs, nothing):
         assert empty.count() == 0 and here.count() > 0
         if k < 4:
             assert here.columns == columns == empty.columns
+
+
+def test_small_batches(spark, tmp_path, monkeypatch):
+    """Whole texts and sets reach the workers of the pipeline's stages by batches of a bounded number of bytes; the session's own limit is back afterwards."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    monkeypatch.setattr(common, "BATCH", 50_000)
+    docs = common.staged(spark.createDataFrame([(k, prose(k, 400)) for k in range(300)], "doc_id bigint, text string").coalesce(1), "test")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    here = docs.mapInArrow(sizes, "n bigint")
+    assert max(r.n for r in common.staged(here, "test").collect()) > 500_000
+    assert max(r.n for r in common.staged(here, "test", small=True).collect()) < 60_000
+    assert spark.conf.get(key).rstrip("b") == before.rstrip("b")
+    held = {}
+    for module, name in ((near, "sets"), (near, "postings"), (packing, "pieces"), (quality, "document_statistics")):
+        made = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *a, made=made, name=name: held.setdefault(name, made(*a)))
+    staged, by_small = common.staged, set()
+    monkeypatch.setattr(common, "staged", lambda df, name, small=False: by_small.update(k for k, v in held.items() if v is df and small) or staged(df, name, small))
+    near.keep_first(docs), packing.pack(docs), quality.classify(docs, spark.createDataFrame([], "doc_id bigint, label int"))
+    assert by_small == {"sets", "postings", "pieces", "document_statistics"}
+
+
+def test_a_task_gives_pairs_away_by_numbers_not_columns(spark, monkeypatch):
+    """Rows of six numbers count six times; bitmaps that meet in parts give the same pairs."""
+    rows = common.staged(spark.createDataFrame([(1, k, 100, 100, k, [k % 7, -1]) for k in range(200)], "h bigint, row bigint, n bigint, rest bigint, root bigint, bits array<bigint>").coalesce(1), "test")
+    wanted = {tuple(r) for r in near.proposed(rows, False).collect()}
+    monkeypatch.setattr(near, "MEET", 100)
+    monkeypatch.setattr(near, "HELD", 1000)
+    assert {tuple(r) for r in near.proposed(rows, False).collect()} == wanted
+    assert near.apart(rows.drop("bits")).count() == 200
