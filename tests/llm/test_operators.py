@@ -685,3 +685,16 @@ def test_a_task_gives_pairs_away_by_numbers_not_columns(spark, monkeypatch):
     monkeypatch.setattr(near, "HELD", 1000)
     assert {tuple(r) for r in near.proposed(rows, False).collect()} == wanted
     assert near.apart(rows.drop("bits")).count() == 200
+
+
+def test_lm_encodes_each_text_once(spark, docs, monkeypatch):
+    """Training and scoring read the units that one pass has written; words and spelled names are those of the texts."""
+    encoded, in_units = [], lm.in_units
+    monkeypatch.setattr(lm, "in_units", lambda rows, *a: encoded.append(rows.columns) or in_units(rows, *a))
+    lm.score(docs, steps=1, rounds=1).count()
+    assert encoded == [["row", "doc_id", "text"]]
+    path, whole = lm.tokenizer_path(), (b"the", b"fox")
+    table = lm.words_by(path, whole)
+    for r in lm.in_units(docs.select("doc_id", "text", F.col("text").alias("same")), path, spark.sparkContext.broadcast(whole)).collect():
+        ws = lm.words(r.same)
+        assert r.ids == lm.subwords(table, ws).tolist() and [bytes(x) for x in r.names] == [w for w in ws if w not in whole]
